@@ -20,10 +20,18 @@ SPACE = "▁"
 #: A word: the mark of one or more spaces and what follows up to the next. No piece has a mark after another character.
 PRETOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Texts are encoded in groups of about this many characters, and this many words are remembered.
-GROUP_CHARS, CACHE_WORDS = 4_000_000, 300_000
+GROUP_CHARS, CACHE_WORDS = 4_000_000, 600_000
 NONE = np.iinfo(np.int64).max
 #: Chars that no piece contains are carried as this minus their code point.
 UNKNOWN = -2
+SLOT_BITS = 20
+LONG_WORD = 64
+#: Words encoded together: their arrays fit the processor's cache.
+AT_ONCE = 8_000
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class PieceModel:
@@ -56,7 +64,6 @@ class PieceModel:
         self.n_pieces = n
         for c in sorted({c for p in ids for c in p} - ids.keys()):
             ids[c] = len(ids) + n
-        self.width = max(ids.values()) + 1
         self.of_char = UNKNOWN - np.arange(0x110000, dtype=np.int64)
         self.char_of = {}
         for p, i in ids.items():
@@ -72,18 +79,29 @@ class PieceModel:
             inner.update((ord(a) << 21) | ord(b) for a, b in zip(p, p[1:], strict=False))
             for k in range(1, len(p)):
                 if p[:k] in ids and p[k:] in ids:
-                    pairs[ids[p[:k]] * self.width + ids[p[k:]]] = (rank_of[sp.get_score(i)], i)
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_rank = np.array([pairs[k][0] for k in self.pair_keys.tolist()], np.int64)
-        self.pair_piece = np.array([pairs[k][1] for k in self.pair_keys.tolist()], np.int64)
+                    pairs[(ids[p[:k]] << 21) | ids[p[k:]]] = (rank_of[sp.get_score(i)], i)
+        # Open addressing: a pair lies in its slot or one of the next.
+        self.slots = np.full((1 << SLOT_BITS) + len(pairs), -1, np.int64)
+        self.pair_rank = np.full(len(self.slots), NONE)
+        self.pair_piece = np.zeros(len(self.slots), np.int64)
+        for key, (rank, piece) in pairs.items():
+            at = int(_slot(np.array([key]))[0])
+            while self.slots[at] >= 0:
+                at += 1
+            self.slots[at], self.pair_rank[at], self.pair_piece[at] = key, rank, piece
         self.inner = np.array(sorted(inner), np.int64)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if they don't merge) and piece of each pair of symbols."""
-        keys = np.where((left >= 0) & (right >= 0), left * self.width + right, -1)
-        at = np.searchsorted(self.pair_keys, keys)
-        at[at == len(self.pair_keys)] = 0
-        hit = self.pair_keys[at] == keys
+        keys = (left << 21) | right  # negative if a symbol is unknown
+        at = _slot(keys)
+        there = self.slots[at]
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            at[on] += 1
+            there = self.slots[at[on]]
+            on = on[(there != keys[on]) & (there >= 0)]
+        hit = self.slots[at] == keys
         return np.where(hit, self.pair_rank[at], NONE), self.pair_piece[at]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -99,20 +117,21 @@ class PieceModel:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         first = np.zeros(len(codes), bool)
         first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        # No merge crosses two characters that stand together in no piece.
-        beside = (codes[:-1] << 21) | codes[1:]
-        at = np.searchsorted(self.inner, beside)
-        at[at == len(self.inner)] = 0
-        first[1:] |= self.inner[at] != beside
+        # In long words, no merge crosses two characters that stand together in no piece.
+        if lengths.max() > LONG_WORD:
+            long = np.flatnonzero(np.repeat(lengths > LONG_WORD, lengths)[1:])
+            beside = (codes[long] << 21) | codes[long + 1]
+            at = np.searchsorted(self.inner, beside)
+            at[at == len(self.inner)] = 0
+            first[long[self.inner[at] != beside] + 1] = True
         sym, seg = self.of_char[codes], np.cumsum(first) - 1
         word_of = np.repeat(np.arange(len(words)), lengths)[first]
         done_sym, done_seg = [], []
+        rank, piece = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
+        within = np.flatnonzero(seg[1:] == seg[:-1])
+        rank[within], piece[within] = self._pairs(sym[within], sym[within + 1])
         while len(sym):
             starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            rank, piece = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
-            if len(sym) > 1:
-                rank[:-1], piece[:-1] = self._pairs(sym[:-1], sym[1:])
-                rank[:-1][seg[1:] != seg[:-1]] = NONE
             low = np.minimum.reduceat(rank, starts)
             run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(sym)]))
             live = low[run] != NONE
@@ -150,7 +169,13 @@ class PieceModel:
                     spot[lead] = True
             sym[spot] = piece[spot]
             keep = ~np.r_[False, spot[:-1]]
-            sym, seg = sym[keep], seg[keep]
+            sym, seg, rank, piece, spot = sym[keep], seg[keep], rank[keep], piece[keep], spot[keep]
+            # Only the pairs that a merge touched are looked up again.
+            touched = np.flatnonzero(spot | np.r_[spot[1:], False])
+            rank[touched] = NONE
+            touched = touched[touched < len(sym) - 1]
+            touched = touched[seg[touched] == seg[touched + 1]]
+            rank[touched], piece[touched] = self._pairs(sym[touched], sym[touched + 1])
         sym, seg = np.concatenate(done_sym) if done_sym else sym, np.concatenate(done_seg) if done_seg else seg
         order = np.argsort(seg, kind="stable")
         sym, word = sym[order], word_of[seg[order]]
@@ -160,11 +185,9 @@ class PieceModel:
             raw = [(chr(UNKNOWN - s) if s < 0 else self.char_of[s]).encode("utf-8", "surrogatepass") for s in sym[lost].tolist()]
             size = np.ones(len(sym), np.int64)
             size[lost] = [len(x) for x in raw]
-            at = np.repeat(np.cumsum(size) - size, size)
             sym, word = np.repeat(sym, size), np.repeat(word, size)
             gone = (sym < 0) | (sym >= self.n_pieces)
             sym[gone] = self.bytes_at[np.frombuffer(b"".join(raw), np.uint8)]
-            del at
         ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
         flat = sym.astype("<u4").tobytes()
         return [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -207,7 +230,9 @@ class Encoder:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
             new = list({w for ws in split for w in ws} - self.cache.keys())
-            self.cache.update(zip(new, self.model.encode_words(new), strict=True))
+            for i in range(0, len(new), AT_ONCE):
+                part = new[i : i + AT_ONCE]
+                self.cache.update(zip(part, self.model.encode_words(part), strict=True))
             for ws in split:
                 yield b"".join([self.begin, *map(self.cache.__getitem__, ws), self.end])
             start = end
