@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     nothing of it is lost with an executor."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
