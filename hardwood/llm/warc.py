@@ -78,7 +78,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
                 for r in batch.slice(at, 64).to_pylist():
                     if out is None:
                         files.create_dir(path.rpartition("/")[0], recursive=True)
-                        out = files.open_output_stream(path)
+                        out = files.open_output_stream(path, compression=None)
                     record = warc_record(r["page_id"], r["url"], r["payload"], r["refers_to"])
                     out.write(record)
                     size, n = size + len(record), n + 1
