@@ -36,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not there.isDefined():
             sc.setCheckpointDir(named)
         spark.conf.set("hardwood.shared.dir", named)
-    return named.rstrip("/")
+    at = sc._jvm.org.apache.hadoop.fs.Path(named)
+    full = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", full).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
