@@ -10,13 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hardwood.llm.common import id_back, id_or_last, table, written
 
 WORDS, PERCENT = 5, 75
-#: Shingles that stand in two or more of about this many documents come last in the order of shingles.
-ORDER_DOCS, ORDER_SHINGLES = 8_000, 300_000
+#: Bits of the bitmap of shared shingles; ranges of 32-bit values and bits in each; shingles in a run.
+FLAG_BITS, RANGES, RANGE_BITS, RUN_SHINGLES = 28, 4096, 20, 4_000_000
 #: Rounds of pivots before what is left of the regions is joined directly.
 ROUNDS = 2
 #: Documents that share no block leave no set behind: a bitmap of this many bits says which do.
@@ -81,76 +80,96 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id (NO_ID for null), set (its hash) and n (its size) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(v.as_py(), width) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "set", "n"])
-
-    return docs.mapInArrow(run, "doc_id long, set long, n long")
+def _shared_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """A bitmap of FLAG_BITS bits, set where a shingle is found in two or more rows, and for few others.
 
+    Tasks send 32 bits of each shingle, sorted, in runs of one range of values; a range's runs are
+    read one after another against two bitmaps, met once and met twice. So memory is bounded
+    whatever the input, and only the folded bitmap (32 MB) comes to the driver. The more it fills
+    up, the less it prunes; it never hides a shared shingle.
+    """
 
-def _common_shingles(docs: DataFrame, n_docs: int, width: int) -> np.ndarray:
-    """Hashes of shingles found twice or more in a sample, the most frequent last; any order is
-    exact, this one keeps passages that many documents share out of the prefixes."""
-    share = min(1.0, ORDER_DOCS / max(n_docs, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            h = np.sort(np.concatenate(held))
+            held.clear()
+            ends = np.searchsorted(h, np.arange(1, RANGES + 1, dtype=np.uint64) << np.uint64(RANGE_BITS))
+            raw, starts = h.astype("<u4").tobytes(), [0, *ends[:-1].tolist()]
+            some = [(i, raw[4 * x : 4 * y]) for i, (x, y) in enumerate(zip(starts, ends.tolist(), strict=True)) if y > x]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["range", "run"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        held, size = [], 0
         for batch in batches:
             for v in batch.column(1):
                 s = shingles(v.as_py(), width)
-                if len(s) and (own := set_id(s)) not in seen:
-                    seen.add(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["key"])
-
-    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where("count > 1")
-    rows = counts.orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES).collect()
-    return np.array([r[0] for r in reversed(rows)], np.int64).view(np.uint64)
+                held.append(s >> np.uint64(32))
+                size += len(s)
+                if size > RUN_SHINGLES:
+                    yield out()
+                    size = 0
+        if size:
+            yield out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for i, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at = np.frombuffer(run.as_py(), "<u4") & np.uint32((1 << RANGE_BITS) - 1)
+                if i not in maps:
+                    maps[i] = [np.zeros(1 << RANGE_BITS, bool) for _ in range(2)]
+                once, twice = maps[i]
+                twice[at[1:][at[1:] == at[:-1]]] = True
+                twice[at[once[at]]] = True
+                once[at] = True
+        for i, (_, twice) in maps.items():
+            fold = twice.reshape(-1, 1 << (32 - FLAG_BITS)).any(1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(fold).tobytes()], pa.binary())], ["range", "flags"])
+
+    runs = docs.mapInArrow(send, "range int, run binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flags = np.zeros(1 << (FLAG_BITS - 3), np.uint8)
+    size = len(flags) // RANGES
+    for i, raw in runs.repartition(max(parts, 128), "range").mapInArrow(meet, "range int, flags binary").collect():
+        flags[i * size : (i + 1) * size] = np.frombuffer(raw, np.uint8)
+    return flags
+
+
+def _prefixes(docs: DataFrame, flags: np.ndarray, width: int, percent: int) -> DataFrame:
+    """For every row doc_id, set (its hash) and n (its size), and for every set with flagged
+    shingles among its first, a row key, set, n for each of those. First come those not flagged:
+    no other set has them."""
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, seen = shared.value, set()
 
-def _prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """key, set, n, often: each set's first shingles, those of ``common`` last."""
-    order = np.argsort(common)
-    keys, rank = common[order], order
-    shared = docs.sparkSession.sparkContext.broadcast((keys, rank))
+        def out(doc_ids, sets, sizes, keys):
+            kinds = pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(x, kinds) for x in (doc_ids, sets, sizes, keys)], ["doc_id", "set", "n", "key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rank = shared.value
-        seen = set()
         for batch in batches:
-            out = []
+            ids, sets, sizes, keys = batch.column(0).to_pylist(), [], [], []
             for v in batch.column(1):
                 s = shingles(v.as_py(), width)
-                if not len(s) or (own := set_id(s)) in seen:
+                own = set_id(s)
+                sets.append(own)
+                sizes.append(len(s))
+                if not len(s) or own in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(own)
-                at = np.minimum(np.searchsorted(keys, s), max(len(keys) - 1, 0))
-                often = keys[at] == s if len(keys) else np.zeros(len(s), bool)
-                first = s[~often]
-                if often.any():
-                    last = s[often]
-                    first = np.concatenate([first, last[np.argsort(rank[at[often]], kind="stable")]])
-                size = prefix_size(len(s), percent)
-                out.append((first[:size], own, len(s), np.arange(size) >= len(s) - int(often.sum())))
-            if out:
-                size = [len(o[0]) for o in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
-                        pa.array(np.repeat(np.array([o[1] for o in out], np.int64), size)),
-                        pa.array(np.repeat(np.array([o[2] for o in out], np.int64), size)),
-                        pa.array(np.concatenate([o[3] for o in out])),
-                    ],
-                    ["key", "set", "n", "often"],
-                )
-
-    return docs.mapInArrow(run, "key long, set long, n long, often boolean")
+                at = s >> np.uint64(64 - FLAG_BITS)
+                hit = (flags[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                take = prefix_size(len(s), percent) - int((~hit).sum())
+                if take > 0:
+                    keys.append((own, len(s), s[hit][:take].view(np.int64)))
+            yield out(ids, sets, sizes, [None] * len(ids))
+            if keys:
+                count = [len(k) for _, _, k in keys]
+                yield out([None] * sum(count), np.repeat([o for o, _, _ in keys], count), np.repeat([n for _, n, _ in keys], count), np.concatenate([k for _, _, k in keys]))
+
+    return docs.mapInArrow(run, "doc_id long, set long, n long, key long")
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -235,16 +254,13 @@ def _unsolved(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "block")
 
 
-def similar_sets(docs: DataFrame, sets: DataFrame, n_docs: int, width: int, percent: int) -> DataFrame:
+def similar_sets(docs: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """set, label for every set that links with another; see ``jaccard_components``."""
     spark = docs.sparkSession
     threshold = 1 - percent / 100
-    prefixes = _prefixes(docs, _common_shingles(docs, n_docs, width), width, percent)
-    # Frequent shingles are known to be shared; the others meet by key. Only sets that share one go on.
-    meet = F.when(F.col("often"), F.xxhash64("key", "set")).otherwise(F.col("key"))
-    shared = prefixes.withColumn("meet", meet).withColumn("df", F.count("*").over(Window.partitionBy("meet"))).where("often or df > 1")
-    keys = written(shared.select(F.col("key").alias("block"), "set", "n"), "keys").distinct()
-    blocks = written(_members(keys), "blocks")
+    keys = prefixes.where("key is not null").select(F.col("key").alias("block"), "set", "n").distinct()
+    several = keys.groupBy("block").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a != b").select("block")
+    blocks = written(_members(written(keys.join(several, "block"), "keys")), "blocks")
     stored = written(_stored_sets(docs, blocks, width), "sets")
     links = spark.createDataFrame([], "set long, pivot long")
     for i in range(ROUNDS):
@@ -297,8 +313,8 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     a component is what links connect, named by its smallest doc_id. The join is exact:
 
     1. Equal sets are one. Two sets that link share a shingle of their prefixes (a quarter of each
-       set, rare shingles first), so the sets that share one form blocks; those that share none are
-       done. Blocks with equal members are one.
+       set, those found in no other set first), so the sets that share one form blocks; those that
+       share none are done. Blocks with equal members are one.
     2. Every block has two pivots, and its sets' distances to them are computed. Sets within the
        threshold of a pivot are linked through it. A block whose sets are all connected is done.
     3. Other blocks split into the pivots' Voronoi regions; by the triangle inequality a set also
@@ -312,14 +328,14 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     that repeat a doc_id are separate rows. Extra columns are ignored; an empty table gives no
     rows.
 
-    Texts stay where they are: prefixes (8 bytes for a quarter of the words) and the sets of those
-    that share a block are shuffled. No pair within a group of copies is formed beyond those with
-    its pivots. Bounded data on every task: a bitmap and the order's shingles.
+    Texts stay where they are: shuffled are 4 bytes a shingle, the shared shingles of prefixes, and
+    the sets of those that share a block. No pair within a group of copies is formed beyond those
+    with its pivots and the windows of step 4. Every task gets two bitmaps of fixed size.
     """
     rows = docs.select(id_or_last().alias("doc_id"), "text")
-    own = written(_sets(rows, width), "sets-of")
-    n_docs = own.count()
-    labels = similar_sets(rows, own, n_docs, width, percent)
+    prefixes = written(_prefixes(rows, _shared_shingles(rows, width), width, percent), "prefixes")
+    labels = similar_sets(rows, prefixes, width, percent)
+    own = prefixes.where("key is null")
     named = own.where("n > 0").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("doc_id", "n", "component_id")
