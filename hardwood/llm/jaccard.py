@@ -15,7 +15,9 @@ from hardwood.llm.common import id_back, id_or_last, table, written
 
 WORDS, PERCENT = 5, 75
 #: Bits of the bitmap of shared shingles; ranges of 32-bit values and bits in each; shingles in a run.
-FLAG_BITS, RANGES, RANGE_BITS, RUN_SHINGLES = 28, 4096, 20, 4_000_000
+FLAG_BITS, RANGES, RANGE_BITS, RUN_SHINGLES = 27, 4096, 20, 4_000_000
+#: Shingles in so many rows or more come last in the order of shingles.
+MANY = 16
 #: Rounds of pivots before what is left of the regions is joined directly.
 ROUNDS = 2
 #: Documents that share no block leave no set behind: a bitmap of this many bits says which do.
@@ -81,12 +83,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _shared_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """A bitmap of FLAG_BITS bits, set where a shingle is found in two or more rows, and for few others.
+    """Bitmaps of FLAG_BITS bits, set where a shingle is found in two or more rows, and in MANY or more; and for few others.
 
     Tasks send 32 bits of each shingle, sorted, in runs of one range of values; a range's runs are
-    read one after another against two bitmaps, met once and met twice. So memory is bounded
-    whatever the input, and only the folded bitmap (32 MB) comes to the driver. The more it fills
-    up, the less it prunes; it never hides a shared shingle.
+    read one after another into counters of 8 bits. So memory is bounded whatever the input, and
+    only the folded bitmaps (32 MB) come to the driver. The more they fill up, the less they
+    prune; they never hide a shared shingle.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,28 +118,27 @@ def _shared_shingles(docs: DataFrame, width: int) -> np.ndarray:
             for i, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at = np.frombuffer(run.as_py(), "<u4") & np.uint32((1 << RANGE_BITS) - 1)
                 if i not in maps:
-                    maps[i] = [np.zeros(1 << RANGE_BITS, bool) for _ in range(2)]
-                once, twice = maps[i]
-                twice[at[1:][at[1:] == at[:-1]]] = True
-                twice[at[once[at]]] = True
-                once[at] = True
-        for i, (_, twice) in maps.items():
-            fold = twice.reshape(-1, 1 << (32 - FLAG_BITS)).any(1)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(fold).tobytes()], pa.binary())], ["range", "flags"])
+                    maps[i] = np.zeros(1 << RANGE_BITS, np.uint8)
+                at, more = np.unique(at, return_counts=True)
+                maps[i][at] = np.minimum(maps[i][at] + np.minimum(more, 255), 255)
+        for i, count in maps.items():
+            most = count.reshape(-1, 1 << (32 - FLAG_BITS)).max(1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(most > 1).tobytes()], pa.binary()), pa.array([np.packbits(most >= MANY).tobytes()], pa.binary())], ["range", "shared", "many"])
 
     runs = docs.mapInArrow(send, "range int, run binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flags = np.zeros(1 << (FLAG_BITS - 3), np.uint8)
-    size = len(flags) // RANGES
-    for i, raw in runs.repartition(max(parts, 128), "range").mapInArrow(meet, "range int, flags binary").collect():
-        flags[i * size : (i + 1) * size] = np.frombuffer(raw, np.uint8)
+    flags = np.zeros((2, 1 << (FLAG_BITS - 3)), np.uint8)
+    size = flags.shape[1] // RANGES
+    for i, *raw in runs.repartition(max(parts, 128), "range").mapInArrow(meet, "range int, shared binary, many binary").collect():
+        for k in range(2):
+            flags[k, i * size : (i + 1) * size] = np.frombuffer(raw[k], np.uint8)
     return flags
 
 
 def _prefixes(docs: DataFrame, flags: np.ndarray, width: int, percent: int) -> DataFrame:
     """For every row doc_id, set (its hash) and n (its size), and for every set with flagged
     shingles among its first, a row key, set, n for each of those. First come those not flagged:
-    no other set has them."""
+    no other set has them; last those found in many rows."""
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +161,10 @@ def _prefixes(docs: DataFrame, flags: np.ndarray, width: int, percent: int) -> D
                     seen.clear()
                 seen.add(own)
                 at = s >> np.uint64(64 - FLAG_BITS)
-                hit = (flags[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                hit, many = ((f[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1 for f in flags)
                 take = prefix_size(len(s), percent) - int((~hit).sum())
                 if take > 0:
-                    keys.append((own, len(s), s[hit][:take].view(np.int64)))
+                    keys.append((own, len(s), np.concatenate([s[hit & ~many], s[many]])[:take].view(np.int64)))
             yield out(ids, sets, sizes, [None] * len(ids))
             if keys:
                 count = [len(k) for _, _, k in keys]
