@@ -1,0 +1 @@
+"""Court-event analytics on Spark: tracks, possession, screens and shots as DataFrame operators."""

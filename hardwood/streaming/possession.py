@@ -1,0 +1,33 @@
+"""Possession as a stream: the batch step function over keyed state."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from hardwood.operators.state import POSSESSION, possession_start, possession_step
+
+
+def possession_stream(frames: DataFrame) -> DataFrame:
+    """``frames`` (streaming; video_id, frame_index, candidates) to the possessor of each frame.
+
+    Rows of a micro-batch are put in frame order; frames at or before the last one seen are late
+    and dropped. State is one small record per video.
+    """
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"at": -1, "s": possession_start()}
+        rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
+        out = []
+        for row in rows.to_dict("records"):
+            if row["frame_index"] > held["at"]:
+                held["at"] = int(row["frame_index"])
+                out += [{"video_id": key[0], **r} for r in possession_step(held["s"], row | {"possessor": None, "predicted": False})]
+        state.update((json.dumps(held, default=int),))
+        yield pd.DataFrame(out, columns=["video_id", "frame_index", "possessor_track_id"])
+
+    return frames.groupBy("video_id").applyInPandasWithState(update, POSSESSION, "held string", "append", GroupStateTimeout.NoTimeout)
