@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FRAME = T._parse_datatype_string(
-    "frame_index int, timestamp double, players array<struct<track_id:bigint,team:string,x_ft:double,y_ft:double,bbox:array<int>,number:int,name:string>>,"
-    "ball struct<bbox:array<int>>, referees array<struct<bbox:array<int>>>, rims array<struct<bbox:array<int>>>,"
-    "possessor_track_id bigint, shot_side string, shot_made boolean, homography_confidence double"
-)
+#: Fixed value: a frame's fields.
+FRAME = {
+    "frame_index": "int",
+    "timestamp": "double",
+    "players": "array<struct<track_id:bigint,team:string,x_ft:double,y_ft:double,bbox:array<int>,number:int,name:string>>",
+    "ball": "struct<bbox:array<int>>",
+    "referees": "array<struct<bbox:array<int>>>",
+    "rims": "array<struct<bbox:array<int>>>",
+    "possessor_track_id": "bigint",
+    "shot_side": "string",
+    "shot_made": "boolean",
+    "homography_confidence": "double",
+}
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -18,9 +25,10 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
     ``video_id`` is the file's path. Of frames with one index the last in the document counts.
     """
-    schema = T.StructType([T.StructField("team_names", T.ArrayType(T.StringType())), T.StructField("frames", T.ArrayType(FRAME)), *FRAME.fields])
+    fields = ",".join(f"{k}:{v}" for k, v in FRAME.items())
+    schema = f"team_names array<string>, frames array<struct<{fields}>>, " + ", ".join(f"{k} {v}" for k, v in FRAME.items())
     raw = spark.read.schema(schema).json(path, multiLine=True).withColumn("video_id", F.input_file_name())
-    bare = F.array(F.struct(*(F.col(f.name) for f in FRAME.fields)))
+    bare = F.array(F.struct(*FRAME))
     rows = raw.select("video_id", F.monotonically_increasing_id().alias("__at"), F.posexplode_outer(F.coalesce("frames", bare)).alias("__pos", "f"))
     rows = rows.where("f.frame_index is not null")
     last = rows.groupBy("video_id", "f.frame_index").agg(F.max_by("f", F.struct("__at", "__pos")).alias("f"))
@@ -34,8 +42,7 @@ def players_ft(frames: DataFrame) -> DataFrame:
 
 def write_frames(frames: DataFrame, path: str) -> None:
     """One JSON document per video, frames in order; the native form is the table itself."""
-    columns = [f.name for f in FRAME.fields]
-    doc = frames.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("frames"))
+    doc = frames.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*FRAME))).alias("frames"))
     doc.select(F.to_json(F.struct("frames")).alias("value")).write.text(path)
 
 
