@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hardwood.llm.common import WORD_PATTERN, table
+from hardwood.llm.common import WORD_PATTERN, table, written
 
 #: The sources' weights in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source's target, and so no document's copies, exceed this many times its size.
 LIMIT = 3
 SEED = "mix-1"
+#: Up to this many sources, one row each, are broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -47,7 +49,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: str
     share their number. A source without words has rate 0. Extra columns are kept; those named
     like the four new ones are replaced. An empty table gives no rows.
 
-    Sizes are summed per source before the shuffle; the join back is on the few sources.
+    Sizes are summed per source before the shuffle, and one row per source is joined back.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     targets = source_targets(docs.select("source", size.alias("size")), weights, limit).select(
@@ -56,7 +58,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: str
     rate = F.col("__target") / F.nullif(F.col("__source_size"), F.lit(0))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(16**13)
     copies = F.coalesce(F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0), F.lit(0)).cast("long")
-    # Few sources: each of their rows is some 100 bytes, and Spark broadcasts them only below its own threshold.
+    # Counted first: a few sources go to every task, so that no text is shuffled; many are joined.
+    targets = written(targets, "mix-targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     out = docs.join(targets, docs["source"].eqNullSafe(F.col("__source")))
     return out.withColumns(
         {"mix_size": size, "mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_copies": copies}
