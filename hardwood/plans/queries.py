@@ -208,9 +208,10 @@ def path_lengths(spark, sf_dir):
     return players(spark, sf_dir).select("track_id", d.alias("d")).groupBy("track_id").agg(F.round(F.sum("d"), 6).alias("path"), F.round(F.max("d"), 6).alias("longest"))
 
 
-@query("select o_custkey, regr_slope(o_totalprice, o_orderkey) is null flat, count(*) n from orders group by o_custkey")
+@query("select o_custkey, round(regr_slope(o_totalprice, o_orderkey), 3) slope, count(*) n from orders group by o_custkey having count(distinct o_orderkey) > 1")
 def line_fits(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.regr_slope("o_totalprice", "o_orderkey").isNull().alias("flat"), F.count("*").alias("n"))
+    fits = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.regr_slope("o_totalprice", "o_orderkey"), 3).alias("slope"), F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    return fits.where("keys > 1").drop("keys")
 
 
 @query("with x as (select o_orderkey, row_number() over (order by o_orderkey)-1 r, count(*) over () n from orders) select cast(c as bigint) chunk, count(*) size from (select ntile(7) over (order by o_orderkey)-1 c from orders) group by c")
