@@ -22,6 +22,8 @@ MANY = 16
 ROUNDS = 2
 #: Documents that share no block leave no set behind: a bitmap of this many bits says which do.
 BITS = 1 << 22
+#: Shingles in a chunk of sets that are compared with those of another; columns compared at once.
+CHUNK, SLICE = 200_000, 4096
 CACHE_WORDS = 300_000
 M1, M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _words: dict[bytes, int] = {}
@@ -255,6 +257,87 @@ def _unsolved(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "block")
 
 
+def _chunks(blocks: DataFrame, threshold: float) -> DataFrame:
+    """set, chunk: the cell of the set's least pivot, cut into bands of distance to it (half the
+    threshold wide) and those into about equal chunks of CHUNK shingles."""
+    home = blocks.groupBy("set").agg(F.min(F.struct(F.xxhash64("p").alias("h"), "p", "dp")).alias("m"), F.first("n").alias("n"))
+    home = home.select("set", "n", F.col("m.p").alias("cell"), F.coalesce(F.floor(F.col("m.dp") / (threshold / 2)), F.lit(-1)).alias("band"))
+    many = home.groupBy("cell", "band").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
+    part = F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks"))
+    return home.join(many, ["cell", "band"]).select("set", F.xxhash64("cell", "band", part).alias("chunk"))
+
+
+def _compare(percent: int):
+    """The function that links the sets of two chunks, or of one with itself."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b = (k.as_py() for k in key)
+        own, chunk, label = (rows.column(c).to_numpy() for c in ("set", "chunk", "label"))
+        raw = [unpacked(x.as_py()) for x in rows.column("raw")]
+        n = np.array([len(x) for x in raw], np.int64)
+        left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
+        _, col, count = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(raw)), n)
+        keep = count[col] > 1
+        col, owner = col[keep], owner[keep]
+        order = np.argsort(col, kind="stable")
+        col, owner = np.unique(col[order], return_inverse=True)[1], owner[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = int(col[-1]) + 1 if len(col) else 0
+        for at in range(0, width, SLICE):
+            x, y = np.searchsorted(col, (at, at + SLICE))
+            dense = np.zeros((len(raw), min(SLICE, width - at)), np.float32)
+            dense[owner[x:y], col[x:y] - at] = 1
+            both += dense[left] @ dense[right].T
+        both = both.astype(np.int64)
+        links = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        # Of the links, as many as it takes to connect the labels.
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(links & (label[left][:, None] != label[right][None, :])), strict=True):
+            i, j = left[i], right[j]
+            x, y = find(int(label[i])), find(int(label[j]))
+            if x != y:
+                root[x] = y
+                out.append((int(own[i]), int(own[j])))
+        return pa.table({"set": pa.array([x for x, _ in out], pa.int64()), "pivot": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _region_links(blocks: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """set, pivot: links that join the components of what is left of the regions.
+
+    Sets outside their region's main component have to be compared with all of the region. Sets
+    are gathered in chunks, and two chunks meet once, however many regions they share and however
+    many pairs that makes; not if their distances to a pivot differ by more than the threshold.
+    So a set is sent once for each chunk that its own meets.
+    """
+    threshold = 1 - percent / 100
+    sizes = blocks.groupBy("block", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("block").agg(F.max(F.struct("size", "label")).alias("m")).select("block", F.col("m.label").alias("main"))
+    chunks = written(_chunks(blocks, threshold), "chunks")
+    window = [f(F.coalesce(c, F.lit(x))).alias(f"{name}_{c}") for c in ("dp", "dq") for name, f, x in (("low", F.min, -9.0), ("high", F.max, 9.0))]
+    there = blocks.join(main, "block").join(chunks, "set").groupBy("block", "chunk").agg(F.max(F.col("label") != F.col("main")).alias("odd"), F.count("*").alias("size"), F.min("n").alias("low_n"), F.max("n").alias("high_n"), *window)
+    there = written(there, "there")
+    other = there.select("block", *(F.col(c).alias(f"y_{c}") for c in there.columns if c != "block"))
+    near = lambda c: (F.col(f"low_{c}") <= F.col(f"y_high_{c}") + threshold + 1e-9) & (F.col(f"y_low_{c}") <= F.col(f"high_{c}") + threshold + 1e-9)
+    fits = (F.col("low_n") * percent <= F.col("y_high_n") * 100) & (F.col("y_low_n") * percent <= F.col("high_n") * 100)
+    apart = F.col("chunk") < F.col("y_chunk")
+    pairs = there.join(other, "block").where((F.col("odd") | F.col("y_odd")) & (apart | (F.col("chunk") == F.col("y_chunk")) & (F.col("size") > 1)) & fits & near("dp") & near("dq"))
+    pairs = pairs.select(F.col("chunk").alias("a"), F.col("y_chunk").alias("b")).distinct()
+    sides = written(pairs, "pairs").select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
+    labels = blocks.groupBy("set").agg(F.first("label").alias("label"))
+    members = written(chunks.join(labels, "set").join(stored, "set"), "members")
+    return sides.join(members, "chunk").select("a", "b", "chunk", "set", "label", "raw").groupBy("a", "b").applyInArrow(_compare(percent), "set long, pivot long")
+
+
 def similar_sets(docs: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """set, label for every set that links with another; see ``jaccard_components``."""
     spark = docs.sparkSession
@@ -279,7 +362,7 @@ def similar_sets(docs: DataFrame, prefixes: DataFrame, width: int, percent: int)
             d = measured.select("set", F.col("pivot").alias(c), F.col("d").alias(f"d{c}"))
             open_blocks = open_blocks.join(d, ["set", c], "left").withColumn(f"d{c}", F.when(F.col("set") == F.col(c), 0.0).otherwise(F.col(f"d{c}")))
         if last:
-            blocks = written(open_blocks.select("block", "set", "n", "label", "dp", "dq"), "open")
+            blocks = written(open_blocks.select("block", "set", "n", "label", "p", "dp", "dq"), "open")
             break
         # A set lies in the region of its nearer pivot, and also in the other's if it is less than
         # twice the threshold farther from it. Where a distance isn't known, in both.
@@ -292,18 +375,7 @@ def similar_sets(docs: DataFrame, prefixes: DataFrame, width: int, percent: int)
         )
         split = open_blocks.select(F.explode(regions).alias("region"), "block", "set", "n")
         blocks = written(_members(split.select(F.xxhash64("block", "region").alias("block"), "set", "n")), "regions")
-    # What is left: sets outside their region's main component against all of the region, within
-    # the windows that the distances to both pivots leave.
-    sizes = blocks.groupBy("block", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("block").agg(F.max(F.struct("size", "label")).alias("m")).select("block", F.col("m.label").alias("main"))
-    rest = blocks.join(main, "block").where("label != main").drop("main")
-    y = blocks.select("block", *(F.col(c).alias(f"y_{c}") for c in ("set", "n", "label", "dp", "dq"))).join(main, "block")
-    near = lambda c: F.coalesce(F.abs(F.col(c) - F.col(f"y_{c}")) <= threshold + 1e-9, F.lit(True))
-    pairs = rest.join(y, "block").where(
-        (F.col("label") != F.col("y_label")) & _fits(F.col("n"), F.col("y_n"), percent) & near("dp") & near("dq") & ((F.col("y_label") == F.col("main")) | (F.col("set") < F.col("y_set")))
-    )
-    pairs = pairs.select(F.least("set", "y_set").alias("set"), F.greatest("set", "y_set").alias("pivot")).distinct()
-    more = written(_distances(pairs, stored, percent).where("linked").select("set", "pivot"), "links")
+    more = written(_region_links(blocks, stored, percent), "links")
     return components(links.union(more))
 
 
@@ -321,8 +393,9 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     3. Other blocks split into the pivots' Voronoi regions; by the triangle inequality a set also
        goes to the other region unless it is more than twice the threshold farther from its pivot.
        Regions are treated like blocks again.
-    4. What then is left is compared pair by pair: sets outside a region's main component with
-       all others there, unless their distances to a pivot differ by more than the threshold.
+    4. What then is left is compared in chunks of bounded size: those with sets outside a region's
+       main component with all others there, unless their distances to a pivot differ by more than
+       the threshold.
 
     A text without words, or null, has no shingles and links with nothing. Rows with a null doc_id
     take part; their component is named by the smallest doc_id that is not null, else null. Rows
@@ -331,7 +404,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
 
     Texts stay where they are: shuffled are 4 bytes a shingle, the shared shingles of prefixes, and
     the sets of those that share a block. No pair within a group of copies is formed beyond those
-    with its pivots and the windows of step 4. Every task gets two bitmaps of fixed size.
+    with its pivots; step 4 compares inside tasks and sends the links that connect. Every task gets two bitmaps of fixed size.
     """
     rows = docs.select(id_or_last().alias("doc_id"), "text")
     prefixes = written(_prefixes(rows, _shared_shingles(rows, width), width, percent), "prefixes")
