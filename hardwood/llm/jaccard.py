@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,11 @@ ROUNDS = 2
 BITS = 1 << 22
 #: Shingles in a chunk of sets that are compared with those of another; columns compared at once.
 CHUNK, SLICE = 200_000, 4096
-CACHE_WORDS = 300_000
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 19
 M1, M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-_words: dict[bytes, int] = {}
+# Fixed value: the six ASCII white-space characters.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,24 +35,63 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct word shingles; of the whole sequence if it is shorter."""
-    ws = text.encode("utf-8", "replace").lower().split() if text else []
-    if not ws:
-        return np.empty(0, np.uint64)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    for w in ws:
-        if w not in _words:
-            _words[w] = ((zlib.crc32(w) << 32) | zlib.crc32(w, 0x5BD1E995)) ^ (len(w) * 0x2545F491)
-    h = _mix(np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws)))
-    n = len(h) - width + 1
-    if n < 1:
-        width, n = len(h), 1
-    total = np.full(n, width, np.uint64)
+BYTE_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(M1))
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``raw`` begin, and their hashes: sums of a value for each byte times one for its place."""
+    text = np.frombuffer(raw, np.uint8)
+    inside = ~SPACE[text]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), M1, np.uint64))
+    return starts, _mix(np.add.reduceat(BYTE_VALUES[text[inside]] * powers[place], first))
+
+
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
-        total = total * np.uint64(M1) + h[k : k + n]
-    return np.unique(_mix(total))
+        total *= np.uint64(M1)
+        total += h[k : k + len(total)]
+    return _mix(total)
+
+
+def shingle_sets(texts: Iterable[str | None], width: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text, in order, the sorted 64-bit hashes of its distinct word shingles; of the whole
+    sequence if it is shorter. Texts are hashed together, about TOGETHER bytes at a time."""
+
+    def sets() -> Iterator[np.ndarray]:
+        starts, h = _word_hashes(b"\n".join(held))
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)])).tolist()
+        rolled = _rolled(h, width) if len(h) >= width else None
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            if x == y:
+                yield h[:0]
+                continue
+            s = np.sort(rolled[x : y - width + 1]) if y - x >= width else _rolled(h[x:y], y - x)
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+
+    held, size = [], 0
+    for text in texts:
+        held.append(text.encode("utf-8", "replace").lower() if text else b"")
+        size += len(held[-1])
+        if size > TOGETHER:
+            yield from sets()
+            held, size = [], 0
+    if held:
+        yield from sets()
+
+
+def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
+    return next(shingle_sets([text], width))
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    return (v.as_py() for v in batch.column(1))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -104,8 +144,7 @@ def _shared_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
         held, size = [], 0
         for batch in batches:
-            for v in batch.column(1):
-                s = shingles(v.as_py(), width)
+            for s in shingle_sets(_texts(batch), width):
                 held.append(s >> np.uint64(32))
                 size += len(s)
                 if size > RUN_SHINGLES:
@@ -152,8 +191,7 @@ def _prefixes(docs: DataFrame, flags: np.ndarray, width: int, percent: int) -> D
 
         for batch in batches:
             ids, sets, sizes, keys = batch.column(0).to_pylist(), [], [], []
-            for v in batch.column(1):
-                s = shingles(v.as_py(), width)
+            for s in shingle_sets(_texts(batch), width):
                 own = set_id(s)
                 sets.append(own)
                 sizes.append(len(s))
@@ -193,8 +231,7 @@ def _stored_sets(docs: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
         flags, seen = np.unpackbits(shared.value).astype(bool), set()
         for batch in batches:
             ids, raw = [], []
-            for v in batch.column(1):
-                s = shingles(v.as_py(), width)
+            for s in shingle_sets(_texts(batch), width):
                 own = set_id(s)
                 if len(s) and flags[own % BITS] and own not in seen:
                     if len(seen) > 1_000_000:
