@@ -23,6 +23,8 @@ ROUNDS = 2
 BITS = 1 << 22
 #: Shingles in a chunk of sets that are compared with those of another; columns compared at once.
 CHUNK, SLICE = 200_000, 4096
+#: Times that pivots' cells join others before they are cut into chunks.
+JUMPS = 2
 #: Bytes of texts that are hashed together.
 TOGETHER = 1 << 19
 M1, M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -294,14 +296,19 @@ def _unsolved(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "block")
 
 
-def _chunks(blocks: DataFrame, threshold: float) -> DataFrame:
-    """set, chunk: the cell of the set's least pivot, cut into bands of distance to it (half the
-    threshold wide) and those into about equal chunks of CHUNK shingles."""
-    home = blocks.groupBy("set").agg(F.min(F.struct(F.xxhash64("p").alias("h"), "p", "dp")).alias("m"), F.first("n").alias("n"))
-    home = home.select("set", "n", F.col("m.p").alias("cell"), F.coalesce(F.floor(F.col("m.dp") / (threshold / 2)), F.lit(-1)).alias("band"))
-    many = home.groupBy("cell", "band").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
+def _chunks(blocks: DataFrame) -> DataFrame:
+    """set, chunk: the cell of the set's least pivot, cut at random into chunks of about CHUNK shingles.
+
+    A pivot's cell joins that of its own least pivot, JUMPS times, so that few cells are small.
+    """
+    home = blocks.groupBy("set").agg(F.min(F.struct(F.xxhash64("p", F.lit(ROUNDS - 1)).alias("h"), "p")).alias("m"), F.first("n").alias("n")).select("set", "n", F.col("m.p").alias("cell"))
+    for _ in range(JUMPS):
+        home = written(home, "home")
+        up = home.select(F.col("set").alias("cell"), F.col("cell").alias("up"))
+        home = home.join(up, "cell", "left").select("set", "n", F.coalesce("up", "cell").alias("cell"))
+    many = home.groupBy("cell").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
     part = F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks"))
-    return home.join(many, ["cell", "band"]).select("set", F.xxhash64("cell", "band", part).alias("chunk"))
+    return home.join(many, "cell").select("set", F.xxhash64("cell", part).alias("chunk"))
 
 
 def _compare(percent: int):
@@ -359,7 +366,7 @@ def _region_links(blocks: DataFrame, stored: DataFrame, percent: int) -> DataFra
     threshold = 1 - percent / 100
     sizes = blocks.groupBy("block", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("block").agg(F.max(F.struct("size", "label")).alias("m")).select("block", F.col("m.label").alias("main"))
-    chunks = written(_chunks(blocks, threshold), "chunks")
+    chunks = written(_chunks(blocks), "chunks")
     window = [f(F.coalesce(c, F.lit(x))).alias(f"{name}_{c}") for c in ("dp", "dq") for name, f, x in (("low", F.min, -9.0), ("high", F.max, 9.0))]
     there = blocks.join(main, "block").join(chunks, "set").groupBy("block", "chunk").agg(F.max(F.col("label") != F.col("main")).alias("odd"), F.count("*").alias("size"), F.min("n").alias("low_n"), F.max("n").alias("high_n"), *window)
     there = written(there, "there")
