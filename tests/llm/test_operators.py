@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -139,6 +140,30 @@ def test_jaccard(docs):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(ROWS)
 
 
+def test_jaccard_in_chunks(spark, monkeypatch):
+    """Groups of copies about the threshold, in chunks so small that each group takes several."""
+    rows = [(i, t, "s0") for i, t in enumerate(prose(90) for _ in range(4))]
+    for i in range(160):
+        ws = rows[i % 4][1].split(" ")
+        for k in R.sample(range(90), R.randint(1, 6)):
+            ws[k] = R.choice(WORDS)
+        rows.append((100 + i, " ".join(ws), "s0"))
+    monkeypatch.setattr(jaccard, "CHUNK", 700)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_shingles_of_texts_together():
+    texts = [None, "", " \t\n", "one", "One TWO", "a b c d e", "a b c d e f", "x" * 5000, "\u00c9t\u00e9 \u00a0 b c d\x0be", *BASE]
+    got = list(jaccard.shingle_sets(texts))
+    for t, s in zip(texts, got, strict=True):
+        assert (s == jaccard.shingles(t)).all() and len(s) == len(jaccard.shingles(t))
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert len(s) == (len({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}) if ws else 0)
+    assert (jaccard.shingles("One two") == jaccard.shingles("one  TWO")).all()
+
+
 def test_jaccard_empty(none):
     assert jaccard.jaccard_components(none).count() == 0
 
