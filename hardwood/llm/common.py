@@ -17,12 +17,26 @@ ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a missing doc_id inside operators, so that it sorts after all others.
 NO_ID = (1 << 63) - 1
+#: Bytes of rows that a task hands to Python at once, where the session keeps Spark's own bound.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Fixed value: Spark's own bound.
+SPARK_BATCH = "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set so that what Python and the JVM hold of texts at once is a few MB a task,
+    however long they are (a longer row is a batch of its own). A bound that the user chose stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == SPARK_BATCH:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import id_back, id_or_last, table, written
+from hardwood.llm.common import id_back, id_or_last, in_small_batches, table, written
 
 WORDS, PERCENT = 5, 75
 #: Bits of the bitmap of shared shingles; ranges of 32-bit values and bits in each; shingles in a run.
@@ -168,7 +168,7 @@ def _shared_shingles(docs: DataFrame, width: int) -> np.ndarray:
             most = count.reshape(-1, 1 << (32 - FLAG_BITS)).max(1)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(most > 1).tobytes()], pa.binary()), pa.array([np.packbits(most >= MANY).tobytes()], pa.binary())], ["range", "shared", "many"])
 
-    runs = docs.mapInArrow(send, "range int, run binary")
+    runs = in_small_batches(docs).mapInArrow(send, "range int, run binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flags = np.zeros((2, 1 << (FLAG_BITS - 3)), np.uint8)
     size = flags.shape[1] // RANGES
@@ -212,7 +212,7 @@ def _prefixes(docs: DataFrame, flags: np.ndarray, width: int, percent: int) -> D
                 count = [len(k) for _, _, k in keys]
                 yield out([None] * sum(count), np.repeat([o for o, _, _ in keys], count), np.repeat([n for _, n, _ in keys], count), np.concatenate([k for _, _, k in keys]))
 
-    return docs.mapInArrow(run, "doc_id long, set long, n long, key long")
+    return in_small_batches(docs).mapInArrow(run, "doc_id long, set long, n long, key long")
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _stored_sets(docs: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
                     raw.append(packed(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["set", "raw"])
 
-    rows = docs.mapInArrow(run, "set long, raw binary")
+    rows = in_small_batches(docs).mapInArrow(run, "set long, raw binary")
     return rows.groupBy("set").agg(F.first("raw").alias("raw"))
 
 
@@ -267,7 +267,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("pivot"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["set", "pivot", "d", "linked"])
 
     both = pairs.join(sets, "set").join(sets.select(F.col("set").alias("pivot"), F.col("raw").alias("other")), "pivot")
-    return both.select("set", "pivot", "raw", "other").mapInArrow(run, "set long, pivot long, d double, linked boolean")
+    return in_small_batches(both.select("set", "pivot", "raw", "other")).mapInArrow(run, "set long, pivot long, d double, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -14,13 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from hardwood.llm.common import table
+from hardwood.llm.common import in_small_batches, table
 
 SPACE = "▁"
 #: A word: the mark of one or more spaces and what follows up to the next. No piece has a mark after another character.
 PRETOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Texts are encoded in groups of about this many characters, and this many words are remembered.
-GROUP_CHARS, CACHE_WORDS = 4_000_000, 600_000
+GROUP_CHARS, CACHE_WORDS = 4_000_000, 150_000
 NONE = np.iinfo(np.int64).max
 #: Chars that no piece contains are carried as this minus their code point.
 UNKNOWN = -2
@@ -261,7 +261,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
                 out = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([encoder.model.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
@@ -279,7 +279,7 @@ def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
                     decoded.append(hashlib.sha256(encoder.model.decode(x).encode("utf-8", "surrogatepass")).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:

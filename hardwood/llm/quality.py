@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import table, words_of, written
+from hardwood.llm.common import in_small_batches, table, words_of, written
 
 # ---------------------------------------------------------------------------------------------
 # Counts of one text
@@ -125,7 +125,7 @@ def ratio_weights(docs: DataFrame, smoothing: float = 1.0) -> np.ndarray:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    sums = docs.select("text").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    sums = in_small_batches(docs.select("text")).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in sums:
         raw[b], target[b] = r, t
@@ -157,7 +157,7 @@ def with_columns(docs: DataFrame, make, types: str, columns: list[str] | None =
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made], [*keep, *new])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]), types])
-    return source.mapInArrow(run, ddl)
+    return in_small_batches(source).mapInArrow(run, ddl)
 
 
 def apply_quality_rules(docs: DataFrame, threshold: float = RATIO_THRESHOLD, columns: list[str] | None = None) -> DataFrame:
@@ -349,7 +349,7 @@ def classify_quality(docs: DataFrame, threshold: float = 0.1, train_docs: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([vote_pattern(v.as_py()) for v in batch.column(0)], pa.int32())], ["pattern"])
 
-    counts = {r[0]: r[1] for r in docs.select("text").mapInArrow(vote, "pattern int").groupBy("pattern").count().collect()}
+    counts = {r[0]: r[1] for r in in_small_batches(docs.select("text")).mapInArrow(vote, "pattern int").groupBy("pattern").count().collect()}
     posteriors, _, _ = fit_label_model(counts)
     n = sum(counts.values())
     # Hashes below this bound: about train_docs rows, of any input.
