@@ -60,3 +60,22 @@ def precision_recall(df: DataFrame, truth: Column, said: Column) -> DataFrame:
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return n.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def average_precision(said: DataFrame, keys: list[str], hit: str, truths: str, *order) -> DataFrame:
+    """Interpolated average precision of each key's answers, surest first in ``order``.
+
+    ``hit`` says whether an answer is right, ``truths`` (the same in all rows of a key) how many
+    right ones there are. At each of 101 recalls, 0 to 1, counts the best precision at that recall
+    or beyond, 0 if it is never reached. Keys without truths get null.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tp = F.sum(F.col(hit).cast("long")).over(w)
+    points = said.select(*keys, F.col(truths).alias("__n"), tp.alias("__tp"), F.count("*").over(w).alias("__k"))
+    # Of each recall one row is left, so what follows is 101 rows a key.
+    step = F.floor(100 * F.col("__tp") / F.nullif(F.col("__n"), F.lit(0))).cast("int").alias("__step")
+    best = points.groupBy(*keys, step).agg(F.max(F.col("__tp") / F.col("__k")).alias("__p"), F.max("__n").alias("__n"))
+    grid = best.groupBy(*keys).agg(F.max("__n").alias("__all")).withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(100))))
+    beyond = Window.partitionBy(*keys).orderBy("__step").rowsBetween(0, Window.unboundedFollowing)
+    at = grid.join(best.drop("__n"), [*keys, "__step"], "left").withColumn("__best", F.coalesce(F.max("__p").over(beyond), F.lit(0.0)))
+    return at.groupBy(*keys).agg(F.when(F.max("__all") > 0, F.avg("__best")).alias("ap"))

@@ -9,19 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def run_per_video(df: DataFrame, start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:
-    """Apply ``step(state, row)`` to each video's rows in order. A video is one group: its state
-    feeds back from row to row, so it can't be split; videos run in parallel."""
+def run_grouped(df: DataFrame, keys: list[str], start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:
+    """Apply ``step(state, row)`` to the rows of each group in order. State feeds back from row to
+    row, so a group can't be split; groups run in parallel."""
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = start(), []
         pdf = pdf.sort_values(order, kind="stable")
         for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-            out += [{"video_id": row["video_id"], **r} for r in step(state, row)]
+            out += [{k: row[k] for k in keys} | r for r in step(state, row)]
         return pd.DataFrame(out, columns=names)
 
-    return df.groupBy("video_id").applyInPandas(group, schema)
+    return df.groupBy(*keys).applyInPandas(group, schema)
+
+
+def run_per_video(df: DataFrame, start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:
+    """``run_grouped`` with a video as the group."""
+    return run_grouped(df, ["video_id"], start, step, schema, order)
 
 
 # --- Ball: exponential smoothing with gating and holdover -------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from hardwood.functions import geometry as G
 from hardwood.operators import joins as J
 from hardwood.operators import sequences as Q
+from hardwood.operators import smoothing as M
 from hardwood.operators import state as K
 from hardwood.plans import screens as S
 
@@ -246,3 +247,57 @@ def shot_outcomes(spark, sf_dir):
 def overlap_suppression(spark, sf_dir):
     p = boxes(players(spark, sf_dir)).withColumn("det_idx", F.col("track_id").cast("int")).withColumn("confidence", (F.col("track_id") * 37 % 100) / 100)
     return K.suppress_overlaps(p.select("video_id", "frame_index", "det_idx", "confidence", "x1", "y1", "x2", "y2"), 0.35).select("frame_index", "det_idx")
+
+
+def _hand_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ball that rises from one player's hand every 12 frames, in videos of 500 frames."""
+    p = players(spark, sf_dir).where("track_id = 1").withColumn("k", F.col("frame_index") % 12)
+    xy = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    wrist = xy(F.col("x_ft") * 10, F.col("y_ft") * 10)
+    up = F.greatest(F.col("k") - 6, F.lit(0)) * 30
+    ball = F.when(F.col("k") != 11, xy(wrist["x"] + 10, wrist["y"] - up))
+    video = F.concat("video_id", F.floor(F.col("frame_index") / 500).cast("string"))
+    return p.select(video.alias("video_id"), "frame_index", F.array(wrist).alias("wrists"), ball.alias("ball"))
+
+
+HANDS_SQL = f"""{WITH}, f as (select 'v'||cast(frame_index//500 as varchar) video_id, frame_index, frame_index%12 k, x_ft*10 wx, y_ft*10 wy from p where track_id=1),
+ b as (select *, case when k<>11 then wx+10 end bx, case when k<>11 then wy-greatest(k-6,0)*30 end yy from f),
+ d as (select *, sqrt((wx-bx)*(wx-bx)+(wy-yy)*(wy-yy)) d from b),
+ m as (select *, d>lag(d,1) over w and lag(d,1) over w>lag(d,2) over w and lag(d,2) over w>lag(d,3) over w grew, lag(yy,3) over w-yy up,
+  min(d) over (partition by video_id order by frame_index rows between 9 preceding and current row) near, row_number() over w nth from d window w as (partition by video_id order by frame_index))
+ select video_id, frame_index, cast(nth as integer) nth, round(least(1.0,0.5*d/45+0.25*up/18),6) confidence from m where grew and d>=45 and up>=18 and near<=70"""
+
+
+@query(HANDS_SQL)
+def release_candidates(spark, sf_dir):
+    return M.release_candidates(_hand_frames(spark, sf_dir)).select("video_id", "frame_index", "nth", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def release_events(spark, sf_dir):
+    return M.releases(_hand_frames(spark, sf_dir)).select("video_id", "frame_index", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def steady_keypoints(spark, sf_dir):
+    p = players(spark, sf_dir)
+    points = p.select("video_id", F.col("track_id").cast("int").alias("kp_idx"), "frame_index", (F.col("x_ft") * 10).alias("x"), (F.col("y_ft") * 10).alias("y"), ((F.col("frame_index") + F.col("track_id")) % 5 / 5).alias("confidence"))
+    return M.steady_keypoints(points).groupBy("kp_idx", "valid").agg(F.count("*").alias("n"))
+
+
+@query()
+def smoothed_positions(spark, sf_dir):
+    p = players(spark, sf_dir).withColumn("video_id", F.concat("video_id", F.floor(F.col("frame_index") / 500).cast("string")))
+    frames = p.groupBy("video_id", "frame_index").agg(F.sort_array(F.collect_list(F.struct("track_id", "team", "x_ft", "y_ft"))).alias("players"))
+    return M.smooth_positions(frames).groupBy("track_id").agg(F.count("*").alias("frames"), F.count_if(F.col("missing") > 0).alias("held"))
+
+
+@query("""with x as (select d.lang, d.doc_id, d.n_chars, l.quality=1 hit from labels l join documents d using (doc_id)),
+ y as (select lang, count(*) filter (where hit) over (partition by lang) n, sum(cast(hit as int)) over w tp, count(*) over w k from x window w as (partition by lang order by n_chars desc, doc_id rows between unbounded preceding and current row)),
+ g as (select y.lang, r.range s, max(case when 100*tp >= r.range*n then cast(tp as double)/k end) p from y, range(101) r where n > 0 group by 1, 2)
+ select lang, round(avg(coalesce(p,0)),9) ap from g group by lang""")
+def average_precision_by_class(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("hit")).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    n = d.groupBy("lang").agg(F.count_if("hit").alias("n"))
+    ap = Q.average_precision(d.join(n.where("n > 0"), "lang"), ["lang"], "hit", "n", F.desc("n_chars"), "doc_id")
+    return ap.select("lang", F.round("ap", 9).alias("ap"))
