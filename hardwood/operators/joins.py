@@ -47,15 +47,15 @@ def interval_first(points: DataFrame, spans: DataFrame, key: str, at: str, start
     return first_by(pairs, points.columns, *order)
 
 
-def near_pairs(players: DataFrame, keys: list[str], above: float, below: float) -> DataFrame:
-    """Pairs i < j of one frame and team whose distance lies strictly between two bounds.
+def near_pairs(players: DataFrame, keys: list[str], above: float, below: float, order: str = "track_id") -> DataFrame:
+    """Pairs of one frame and team, i before j in ``order``, whose distance lies strictly between two bounds.
 
     The frame is an equality key, so the distance stays a condition of a hash join.
     """
-    i = players.select(*keys, F.col("track_id").alias("i"), F.col("x_ft").alias("ix"), F.col("y_ft").alias("iy"))
-    j = players.select(*keys, F.col("track_id").alias("j"), F.col("x_ft").alias("jx"), F.col("y_ft").alias("jy"))
+    i = players.select(*keys, F.col(order).alias("i_at"), F.col("track_id").alias("i"), F.col("x_ft").alias("ix"), F.col("y_ft").alias("iy"))
+    j = players.select(*keys, F.col(order).alias("j_at"), F.col("track_id").alias("j"), F.col("x_ft").alias("jx"), F.col("y_ft").alias("jy"))
     gap = distance(F.col("ix"), F.col("iy"), F.col("jx"), F.col("jy"))
-    return i.join(j, keys).where((F.col("i") < F.col("j")) & (gap > above) & (gap < below)).withColumn("pair_dist", gap)
+    return i.join(j, keys).where((F.col("i_at") < F.col("j_at")) & (gap > above) & (gap < below)).withColumn("pair_dist", gap)
 
 
 def roster_names(tracks: DataFrame, roster: DataFrame) -> DataFrame:
