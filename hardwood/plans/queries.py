@@ -117,6 +117,13 @@ def roster_lookup(spark, sf_dir):
     return c.join(n, "n_nationkey", "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
+@query("select c_custkey, n_name, r_name from customer left join nation on c_nationkey=n_nationkey left join region on n_regionkey=r_regionkey")
+def roster_lookup_all(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    roster = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.lit("all").alias("team"), F.col("n_nationkey").alias("number"), "n_name", "r_name")
+    return J.roster_names(c.select("c_custkey", F.lit("all").alias("team"), F.col("c_nationkey").alias("number")), roster).select("c_custkey", "n_name", "r_name")
+
+
 @query("select e.event_id, max(v.event_id) last_view from events e left join events v on v.user_id=e.user_id and v.event_type='view' and v.event_id<=e.event_id where e.event_type='purchase' group by e.event_id")
 def asof_last_view(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
@@ -236,9 +243,14 @@ def possession_frames(spark, sf_dir):
     return K.possession(frames).groupBy("possessor_track_id").agg(F.count("*").alias("frames"))
 
 
+def _one_row_per_frame(df: DataFrame, holder, **columns) -> DataFrame:
+    """Every frame once, with ``columns`` of the player whose track is ``holder``, null without one."""
+    return df.groupBy("video_id", "frame_index").agg(*(F.max(F.when(F.col("track_id") == holder, c)).alias(n) for n, c in columns.items()))
+
+
 @query()
 def shot_outcomes(spark, sf_dir):
-    p = players(spark, sf_dir).where("track_id = 1").withColumn("k", F.col("frame_index") % 97)
+    p = _one_row_per_frame(players(spark, sf_dir), F.floor(F.col("frame_index") / 97) % 10, team=F.col("team")).withColumn("k", F.col("frame_index") % 97)
     rows = p.select(F.concat("video_id", F.floor(F.col("frame_index") / 500).cast("string")).alias("video_id"), "frame_index", F.col("k").between(10, 13).alias("at_rim"), ((F.col("k") == 12) | ((F.col("k") == 13) & (F.col("frame_index") % 2 == 0))).alias("in_basket"), (F.col("k") == 8).alias("action"), "team", F.lit("left").alias("side"))
     return K.shots(rows).groupBy("made").agg(F.count("*").alias("n"))
 
@@ -260,6 +272,22 @@ def _hand_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(video.alias("video_id"), "frame_index", F.array(wrist).alias("wrists"), ball.alias("ball"))
 
 
+def _all_hand_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All players' wrists of each frame, in videos of 500 frames, and a ball: every 12 frames it
+    leaves another player's hand, by turns upward and into the next player's hand."""
+    p = players(spark, sf_dir).withColumn("wrist", F.struct((F.col("x_ft") * 10).alias("x"), (F.col("y_ft") * 10).alias("y")))
+    turn, k = F.floor(F.col("frame_index") / 12), F.col("frame_index") % 12
+    of = lambda track: F.max(F.when(F.col("track_id") == track % 10, F.col("wrist")))
+    wrists = F.transform(F.sort_array(F.collect_list(F.struct("track_id", "wrist"))), lambda w: w["wrist"])
+    frames = p.groupBy("video_id", "frame_index").agg(wrists.alias("wrists"), of(turn).alias("a"), of(turn + 1).alias("b"))
+    a, b, s = F.col("a"), F.col("b"), F.greatest(k - 6, F.lit(0))
+    up = F.struct((a["x"] + 10).alias("x"), (a["y"] - s * 30).alias("y"))
+    over = F.struct((a["x"] + (b["x"] - a["x"]) * (s / 4)).alias("x"), (a["y"] + (b["y"] - a["y"]) * (s / 4)).alias("y"))
+    ball = F.when((k != 11) & a.isNotNull() & b.isNotNull(), F.when(turn % 2 == 0, up).otherwise(over))
+    video = F.concat("video_id", F.floor(F.col("frame_index") / 500).cast("string"))
+    return frames.select(video.alias("video_id"), "frame_index", "wrists", ball.alias("ball"))
+
+
 HANDS_SQL = f"""{WITH}, f as (select 'v'||cast(frame_index//500 as varchar) video_id, frame_index, frame_index%12 k, x_ft*10 wx, y_ft*10 wy from p where track_id=1),
  b as (select *, case when k<>11 then wx+10 end bx, case when k<>11 then wy-greatest(k-6,0)*30 end yy from f),
  d as (select *, sqrt((wx-bx)*(wx-bx)+(wy-yy)*(wy-yy)) d from b),
@@ -273,9 +301,24 @@ def release_candidates(spark, sf_dir):
     return M.release_candidates(_hand_frames(spark, sf_dir)).select("video_id", "frame_index", "nth", F.round("confidence", 6).alias("confidence"))
 
 
+ALL_HANDS_SQL = f"""{WITH}, f as (select *, x_ft*10 wx, y_ft*10 wy, frame_index//12 turn, greatest(frame_index%12-6,0) s from p),
+ h as (select frame_index, any_value(turn) turn, any_value(s) s, max(wx) filter (where track_id=turn%10) ax, max(wy) filter (where track_id=turn%10) ay,
+  max(wx) filter (where track_id=(turn+1)%10) nx, max(wy) filter (where track_id=(turn+1)%10) ny from f where frame_index%12<>11 group by frame_index),
+ b as (select frame_index, case when turn%2=0 then ax+10 else ax+(nx-ax)*(s/4) end bx, case when turn%2=0 then ay-s*30 else ay+(ny-ay)*(s/4) end yy from h where ax is not null and nx is not null),
+ d as (select 'v'||cast(frame_index//500 as varchar) video_id, frame_index, any_value(yy) yy, min(sqrt((x_ft*10-bx)*(x_ft*10-bx)+(y_ft*10-yy)*(y_ft*10-yy))) d from p left join b using (frame_index) group by frame_index),
+ m as (select *, d>lag(d,1) over w and lag(d,1) over w>lag(d,2) over w and lag(d,2) over w>lag(d,3) over w grew, lag(yy,3) over w-yy up,
+  min(d) over (partition by video_id order by frame_index rows between 9 preceding and current row) near, row_number() over w nth from d window w as (partition by video_id order by frame_index))
+ select video_id, frame_index, cast(nth as integer) nth, round(least(1.0,0.5*d/45+0.25*up/18),6) confidence from m where grew and d>=45 and up>=18 and near<=70"""
+
+
+@query(ALL_HANDS_SQL)
+def release_candidates_all_hands(spark, sf_dir):
+    return M.release_candidates(_all_hand_frames(spark, sf_dir)).select("video_id", "frame_index", "nth", F.round("confidence", 6).alias("confidence"))
+
+
 @query()
 def release_events(spark, sf_dir):
-    return M.releases(_hand_frames(spark, sf_dir)).select("video_id", "frame_index", F.round("confidence", 6).alias("confidence"))
+    return M.releases(_all_hand_frames(spark, sf_dir)).select("video_id", "frame_index", F.round("confidence", 6).alias("confidence"))
 
 
 @query()

@@ -70,3 +70,31 @@ def test_positions_hold_over_refuse_and_take_over():
     assert [r["track_id"] for r in play(M.position_start, M.position_step, rows) if r["frame_index"] == 2] == [2, 3]
     gone = play(M.position_start, M.position_step, [{"players": [player(1, 0.0)]}] + [{"players": None}] * 30)
     assert len(gone) == 21
+
+
+def test_release_events_judge_all_hands_of_a_frame(spark):
+    from hardwood.plans import queries as Q
+    from tests.conftest import SF
+
+    at = {}
+    for r in Q.players(spark, SF).collect():
+        at.setdefault(r.frame_index, {})[r.track_id] = (r.x_ft * 10, r.y_ft * 10)
+    videos, one = {}, {}
+    for f, hands in sorted(at.items()):
+        own, other, s = hands.get(f // 12 % 10), hands.get((f // 12 + 1) % 10), max(f % 12 - 6, 0)
+        ball = None
+        if own and other and f % 12 != 11:
+            ball = (own[0] + (other[0] - own[0]) * (s / 4), own[1] + (other[1] - own[1]) * (s / 4)) if f // 12 % 2 else (own[0] + 10, own[1] - s * 30)
+        for rows, wrists in ((videos, list(hands.values())), (one, [own])):
+            rows.setdefault(f // 500, []).append((f % 500, wrists, ball))
+    want = {(f"v{v}", 500 * v + f) for v, rows in videos.items() for f in plain_releases(rows)}
+    assert want and want != {(f"v{v}", 500 * v + f) for v, rows in one.items() for f in plain_releases(rows)}
+    assert {(r.video_id, r.frame_index) for r in Q.release_events(spark, SF).collect()} == want
+
+
+def test_roster_names_keep_every_track_and_miss_by_null(spark):
+    from hardwood.operators.joins import roster_names
+
+    tracks = spark.createDataFrame([(1, "white", 7), (2, "white", 8), (3, "dark", 7), (4, None, 7)], "track_id long, team string, number int")
+    roster = spark.createDataFrame([("white", 7, "a"), ("white", 9, "b")], "team string, number int, name string")
+    assert sorted((r.track_id, r.name) for r in roster_names(tracks, roster).collect()) == [(1, "a"), (2, None), (3, None), (4, None)]
