@@ -19,8 +19,8 @@ CLASSES, STATES = 4096, 6
 COMMON_WORDS, COMMON_BYTES = 250_000, 64
 #: Documents are trained on in pieces of this many tokens, and scored by products over such pieces.
 PIECE = 128
-#: The starting point is fitted to about this many documents; the model itself to all.
-PILOT_DOCS, PILOT_ROUNDS, ROUNDS = 2_000, 12, 2
+#: Baum-Welch rounds, each over all training documents.
+ROUNDS = 14
 FLUSH = 400_000
 
 
@@ -202,21 +202,10 @@ def _gathered(rows, shares: np.ndarray) -> tuple[Model, float]:
     return Model.counted(values[c], values[c + 1], values[c + 2 : c + 2 + STATES], values[:c].T, shares), float(values[-1, 0])
 
 
-def train(encoded: DataFrame, shares: np.ndarray, n_docs: int) -> Model:
-    """Baum-Welch over all rows of ``encoded`` (row_id, ids): each round's counts are made by every
-    task for its documents and summed over tasks; only the sums, some 4,100 rows, reach the driver."""
-    keep = min(1.0, PILOT_DOCS / max(n_docs, 1))
-    pilot = encoded.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1).select("ids")
-
-    def fit_pilot(batches):
-        docs = [np.frombuffer(x, "<u2").astype(np.int64) for b in batches for x in b.column(0).to_pylist()]
-        model = Model.seeded(shares)
-        for _ in range(PILOT_ROUNDS):
-            parts = batched_counts(model, iter(docs))
-            model = Model.counted(*parts[:4], shares)
-        yield _spread(*(batched_counts(model, iter(docs))))
-
-    model, _ = _gathered(pilot.coalesce(1).mapInArrow(fit_pilot, COUNT_DDL).collect(), shares)
+def train(encoded: DataFrame, shares: np.ndarray) -> Model:
+    """Baum-Welch over all rows of ``encoded`` (ids), from ``Model.seeded``: each round's counts are made by
+    every task for its documents and summed over tasks; only the sums, some 4,100 rows, reach the driver."""
+    model = Model.seeded(shares)
     for _ in range(ROUNDS):
 
         def count(batches, model=model):
@@ -300,7 +289,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     ddl = "doc_id long, held_out boolean, n_tokens long, known long, logs double, ids binary, rare array<struct<word:binary,n:long>>"
     encoded = written(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(encode, ddl).withColumn("row_id", F.monotonically_increasing_id()), "lm-encoded")
-    model = train(encoded.where(~F.col("held_out")), shares, n_train)
+    model = train(encoded.where(~F.col("held_out")), shares)
     # log10 of each class's divisor, and of the base's.
     divisor = np.log10(class_n + class_v + 1)
     divisor[CLASSES] = 0.0

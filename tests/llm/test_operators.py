@@ -251,6 +251,20 @@ def test_forward_recursion_is_exact():
         assert abs(total - got) < 1e-8 * abs(total)
 
 
+def test_training_sees_all_documents_in_every_round(spark):
+    """More documents than a sample of 2,000 would hold, in which every tenth is of another kind."""
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 40, 6) + (400 if i % 10 == 0 else 0) for i in range(3000)]
+    counts = np.bincount(np.concatenate(docs), minlength=hmm.CLASSES + 1)
+    shares = (counts + 1) / (counts + 1).sum()
+    encoded = spark.createDataFrame([(i, bytearray(d.astype("<u2").tobytes())) for i, d in enumerate(docs)], "row_id long, ids binary").repartition(3)
+    got, want = hmm.train(encoded, shares), hmm.Model.seeded(shares)
+    for _ in range(14):
+        want = hmm.Model.counted(*hmm.batched_counts(want, iter(docs))[:4], shares)
+    for part in ("start", "between", "move", "emit"):
+        assert np.allclose(getattr(got, part), getattr(want, part), rtol=1e-6, atol=1e-9), part
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
