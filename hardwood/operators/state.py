@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,17 +11,22 @@ from pyspark.sql import DataFrame
 
 def run_grouped(df: DataFrame, keys: list[str], start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:
     """Apply ``step(state, row)`` to the rows of each group in order. State feeds back from row to
-    row, so a group can't be split; groups run in parallel."""
+    row, so a group can't be split; groups run in parallel. Spark sorts, and rows stream through in
+    batches with only the state kept, so memory doesn't grow with a group."""
     names = [c.strip().split()[0] for c in schema.split(",")]
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = start(), []
-        pdf = pdf.sort_values(order, kind="stable")
-        for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-            out += [{k: row[k] for k in keys} | r for r in step(state, row)]
-        return pd.DataFrame(out, columns=names)
-
-    return df.groupBy(*keys).applyInPandas(group, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, at = start(), None
+        for pdf in batches:
+            out = []
+            for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                key = tuple(row[k] for k in keys)
+                if key != at:
+                    state, at = start(), key
+                out += [{k: row[k] for k in keys} | r for r in step(state, row)]
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def run_per_video(df: DataFrame, start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:

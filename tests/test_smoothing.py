@@ -98,3 +98,21 @@ def test_roster_names_keep_every_track_and_miss_by_null(spark):
     tracks = spark.createDataFrame([(1, "white", 7), (2, "white", 8), (3, "dark", 7), (4, None, 7)], "track_id long, team string, number int")
     roster = spark.createDataFrame([("white", 7, "a"), ("white", 9, "b")], "team string, number int, name string")
     assert sorted((r.track_id, r.name) for r in roster_names(tracks, roster).collect()) == [(1, "a"), (2, None), (3, None), (4, None)]
+
+
+def test_keypoints_stream_in_batches_with_their_state(spark):
+    rng = random.Random(7)
+    rows = {k: [{"frame_index": f, "x": rng.choice([None, rng.uniform(0, 90)]), "y": rng.uniform(0, 9), "confidence": rng.random()} for f in range(100)] for k in range(5)}
+    data = [("v", k, r["frame_index"], r["x"], r["y"], r["confidence"]) for k, rs in rows.items() for r in rs]
+    rng.shuffle(data)
+    points = spark.createDataFrame(data, "video_id string, kp_idx int, frame_index long, x double, y double, confidence double")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        out = M.steady_keypoints(points)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        got = sorted((r.kp_idx, r.frame_index, r.x, r.confidence, r.valid) for r in out.collect())
+    finally:
+        spark.conf.set(batch, before)
+    assert got == sorted((k, r["frame_index"], r["x"], r["confidence"], r["valid"]) for k, rs in rows.items() for r in play(M.keypoint_start, M.keypoint_step, rs))
