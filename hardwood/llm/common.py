@@ -40,12 +40,15 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set instead.
+    Only where the session names none and all runs in one process (tests, a laptop) a temporary
+    folder is set instead; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("hardwood.shared.dir", None)
     if named is None:
         there = sc._jsc.sc().getCheckpointDir()
+        if not there.isDefined() and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = there.get() if there.isDefined() else f"file://{tempfile.mkdtemp(prefix='hardwood-')}"
         if not there.isDefined():
             sc.setCheckpointDir(named)
@@ -74,6 +77,44 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables written for one computation; each can be deleted once what was made of it is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, _ = self.paths.pop(id(t))
+            delete_folder(self.spark, path)
+
+
+#: Keys that hold so many rows may be met apart from the rest, so many keys at most.
+HOT_ROWS, HOT_KEYS = 1000, 1024
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` (inner or left) with ``one``, which has a row a key at most.
+
+    The HOT_KEYS keys with the most rows are met by a broadcast of their rows of ``one``, as many at
+    most, so that no task gets all rows of a frequent key: what is left of any key is less than a
+    1/HOT_KEYS share of all rows, or HOT_ROWS.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("__c")).where(F.col("__c") >= HOT_ROWS).orderBy(F.desc("__c"), key).limit(HOT_KEYS).select(key)
+    few = one.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True))
+    met = rows.join(F.broadcast(few), key, "left")
+    apart = met.where("__hot is not null").drop("__hot")
+    rest = met.where("__hot is null").select(*rows.columns).join(one, key, how)
+    return apart.unionByName(rest)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
