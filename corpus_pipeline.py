@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hardwood.llm.common import table, written
-from hardwood.llm.jaccard import jaccard_components
+from hardwood.llm.jaccard import keep_one
 from hardwood.llm.mixing import emit_mixture
 from hardwood.llm.pieces import default_model, encode_documents
 from hardwood.llm.quality import apply_quality_rules, classify_quality
@@ -35,15 +34,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays; of rows that repeat it, one.
+    """One row of each component stays: that with the smallest doc_id, a null last.
 
-    Rows with a null doc_id go if their component has a doc_id; else those with different texts stay.
+    Texts without words, or null, stay; of rows that repeat both doc_id and text one does. An empty
+    table gives no rows.
     """
-    found = jaccard_components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__first")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    return kept.withColumn("__again", again).where("__again = 1").select(*docs.columns)
+    return keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
