@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import table, written
+from hardwood.llm.common import in_small_batches, table, written
 
 #: Word classes; class CLASSES is the end token's own.
 CLASSES, STATES = 4096, 6
-#: Words with the largest counts, this many at most and of 64 bytes at most, go to every task.
+#: Words with the largest counts, this many at most, go to every task; longer words than this are told by a digest.
 COMMON_WORDS, COMMON_BYTES = 250_000, 64
 #: Documents are trained on in pieces of this many tokens, and scored by products over such pieces.
 PIECE = 128
+#: Sequences of up to this many tokens are scored side by side, longer ones in pieces.
+LONG = 512
 #: Baum-Welch rounds, each over all training documents.
 ROUNDS = 14
 FLUSH = 400_000
@@ -29,6 +33,13 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def known_as(words: list[bytes]) -> list[bytes]:
+    """Words as they are counted: long ones by a digest, so that no key is longer than COMMON_BYTES."""
+    if max(map(len, words), default=0) <= COMMON_BYTES:
+        return words
+    return [w if len(w) <= COMMON_BYTES else b"\0" + hashlib.blake2b(w, digest_size=24).digest() for w in words]
+
+
 def word_class(word: bytes) -> int:
     return zlib.crc32(word) % CLASSES
 
@@ -51,12 +62,12 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                seen.update(tokens(value.as_py()))
+                seen.update(known_as(tokens(value.as_py())))
                 if len(seen) > FLUSH:
                     yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return in_small_batches(docs.select("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 class Model:
@@ -86,48 +97,55 @@ def pieces_of(ids: np.ndarray) -> Iterator[np.ndarray]:
         yield ids[at : at + PIECE]
 
 
-def _grid(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces side by side (time, piece) with -1 past their ends, and their lengths."""
-    size = np.array([len(p) for p in pieces])
-    grid = np.full((int(size.max()), len(pieces)), -1, np.int64)
-    for i, p in enumerate(pieces):
-        grid[: len(p), i] = p
-    return grid, size
+class Steps:
+    """Sequences side by side, longest first: the classes of all first tokens, then of all second ones,
+    and so on. ``order`` says which sequence is where; step t holds places ``at[t]`` to ``at[t + 1] - 1``."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        size = np.array([len(p) for p in seqs])
+        self.order = np.argsort(-size, kind="stable")
+        size = size[self.order]
+        live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+        self.n, self.at = len(seqs), np.append(0, np.cumsum(live))
+        nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.classes = np.empty(len(nth), np.int64)
+        self.classes[self.at[nth] + np.repeat(np.arange(self.n), size)] = np.concatenate([seqs[i] for i in self.order])
+
+    def emissions(self, model: Model) -> np.ndarray:
+        return np.stack([e.take(self.classes) for e in model.emit])
 
 
 def expected_counts(model: Model, pieces: list[np.ndarray], firsts: np.ndarray):
     """One Baum-Welch pass over some pieces: counts of starts, moves and emissions by scaled forward and backward recursions."""
-    order = np.argsort([-len(p) for p in pieces], kind="stable")
-    pieces, firsts = [pieces[i] for i in order], firsts[order]
-    grid, size = _grid(pieces)
-    steps, n = grid.shape
-    emit = np.ascontiguousarray(model.emit.T)
-    alpha, scale = np.zeros((steps + 1, n, STATES)), np.ones((steps, n))
-    alpha[0] = np.where(firsts[:, None], model.start, model.between)
-    live = [int((size > t).sum()) for t in range(steps)]
-    for t in range(steps):
-        k = live[t]
-        a = (alpha[t, :k] @ model.move) * emit[grid[t, :k]]
-        s = a.sum(1)
-        scale[t, :k] = s
-        alpha[t + 1, :k] = a / s[:, None]
-    move, spots, gammas = np.zeros((STATES, STATES)), [], []
-    beta = np.ones((n, STATES))
-    for t in range(steps - 1, -1, -1):
-        k = live[t]
-        gamma = alpha[t + 1, :k] * beta[:k]
-        spots.append(grid[t, :k])
-        gammas.append(gamma)
-        weighted = emit[grid[t, :k]] * beta[:k] / scale[t, :k, None]
-        move += model.move * (alpha[t, :k].T @ weighted)
-        beta[:k] = weighted @ model.move.T
-    first = alpha[0] * beta
-    at, gamma = np.concatenate(spots), np.concatenate(gammas)
-    counts = np.stack([np.bincount(at, gamma[:, j], CLASSES + 1) for j in range(STATES)])
-    return first[firsts].sum(0), first[~firsts].sum(0), move, counts, float(np.log(scale).sum())
-
-
-def batched_counts(model: Model, rows: Iterator[np.ndarray], size: int = 1500):
+    steps = Steps(pieces)
+    firsts, at = firsts[steps.order], steps.at
+    emit = steps.emissions(model)
+    begin = np.where(firsts, model.start[:, None], model.between[:, None])
+    alpha, beta, scale = np.empty_like(emit), np.empty_like(emit), np.empty(emit.shape[1])
+    onward = np.ascontiguousarray(model.move.T)
+    before = begin
+    for x, y in zip(at, at[1:], strict=False):
+        a = onward @ before[:, : y - x]
+        a *= emit[:, x:y]
+        a.sum(0, out=scale[x:y])
+        before = np.divide(a, scale[x:y], out=alpha[:, x:y])
+    emit /= scale
+    # Past its end a sequence's beta is 1.
+    move, after = np.zeros((STATES, STATES)), np.ones((STATES, steps.n))
+    for t in range(len(at) - 2, -1, -1):
+        x, y = at[t], at[t + 1]
+        beta[:, x:y] = after[:, : y - x]
+        weighted = emit[:, x:y] * after[:, : y - x]
+        before = begin if t == 0 else alpha[:, at[t - 1] : at[t - 1] + y - x]
+        move += before @ weighted.T
+        after[:, : y - x] = model.move @ weighted
+    first = begin * after
+    gamma = alpha * beta
+    counts = np.stack([np.bincount(steps.classes, g, CLASSES + 1) for g in gamma])
+    return first[:, firsts].sum(1), first[:, ~firsts].sum(1), model.move * move, counts, float(np.log(scale).sum())
+
+
+def batched_counts(model: Model, rows: Iterator[np.ndarray], size: int = 3000):
     """Sums of ``expected_counts`` over documents, some pieces at a time."""
     total, pieces, firsts = [np.zeros(STATES), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1)), 0.0], [], []
 
@@ -148,37 +166,52 @@ def batched_counts(model: Model, rows: Iterator[np.ndarray], size: int = 1500):
     return total
 
 
-def log_likelihoods(model: Model, docs: list[np.ndarray], size: int = 1500) -> np.ndarray:
-    """Natural-log likelihood of each whole sequence of classes: the scaled forward recursion, run
-    over pieces from every state at once, whose matrices then multiply in order."""
-    owner, index, pieces = [], [], []
-    for d, ids in enumerate(docs):
-        for i, p in enumerate(pieces_of(ids)):
-            owner.append(d)
-            index.append(i)
-            pieces.append(p)
-    owner, index = np.array(owner, np.int64), np.array(index, np.int64)
-    mats, logs = np.zeros((len(pieces), STATES, STATES)), np.zeros(len(pieces))
-    emit = np.ascontiguousarray(model.emit.T)
-    order = np.argsort([-len(p) for p in pieces], kind="stable")
-    for at in range(0, len(order), size):
-        part = order[at : at + size]
-        grid, length = _grid([pieces[i] for i in part])
-        m, log = np.tile(np.eye(STATES), (len(part), 1, 1)), np.zeros(len(part))
-        for t in range(grid.shape[0]):
-            k = int((length > t).sum())
-            x = (m[:k].reshape(-1, STATES) @ model.move).reshape(k, STATES, STATES) * emit[grid[t, :k]][:, None, :]
-            s = x.max((1, 2))
-            m[:k] = x / s[:, None, None]
-            log[:k] += np.log(s)
-        mats[part], logs[part] = m, log
-    out, state = np.zeros(len(docs)), np.tile(model.start, (len(docs), 1))
-    for i in range(int(index.max()) + 1 if len(index) else 0):
-        here = np.flatnonzero(index == i)
-        x = np.einsum("nk,nkj->nj", state[owner[here]], mats[here])
-        s = x.sum(1)
-        state[owner[here]] = x / s[:, None]
-        out[owner[here]] += logs[here] + np.log(s)
+def log_likelihoods(model: Model, docs: list[np.ndarray], size: int = 3000) -> np.ndarray:
+    """Natural-log likelihood of each whole sequence of classes: the scaled forward recursion, run over
+    the sequences side by side. Those above LONG are run in pieces from every state at once, whose
+    matrices then multiply in order."""
+    out = np.zeros(len(docs))
+    for find, some in ((_short_likelihoods, [i for i, d in enumerate(docs) if len(d) <= LONG]), (_long_likelihoods, [i for i, d in enumerate(docs) if len(d) > LONG])):
+        for at in range(0, len(some), size):
+            out[some[at : at + size]] = find(model, [docs[i] for i in some[at : at + size]])
+    return out
+
+
+def _short_likelihoods(model: Model, docs: list[np.ndarray]) -> np.ndarray:
+    steps = Steps(docs)
+    emit, logs = steps.emissions(model), np.zeros(steps.n)
+    state, onward = np.repeat(model.start[:, None], steps.n, 1), np.ascontiguousarray(model.move.T)
+    for x, y in zip(steps.at, steps.at[1:], strict=False):
+        a = onward @ state[:, : y - x]
+        a *= emit[:, x:y]
+        s = a.sum(0)
+        state = a / s
+        logs[: y - x] += np.log(s)
+    out = np.empty(steps.n)
+    out[steps.order] = logs
+    return out
+
+
+def _long_likelihoods(model: Model, docs: list[np.ndarray]) -> np.ndarray:
+    pieces = [list(pieces_of(d)) for d in docs]
+    steps = Steps([p for ps in pieces for p in ps])
+    mats, logs = np.repeat(np.eye(STATES)[None], steps.n, 0), np.zeros(steps.n)
+    for x, y in zip(steps.at, steps.at[1:], strict=False):
+        k = y - x
+        m = (mats[:k].reshape(-1, STATES) @ model.move).reshape(k, STATES, STATES) * model.emit.T[steps.classes[x:y]][:, None, :]
+        s = m.max((1, 2))
+        mats[:k] = m / s[:, None, None]
+        logs[:k] += np.log(s)
+    place = np.empty(steps.n, np.int64)
+    place[steps.order] = np.arange(steps.n)
+    out, nth = np.zeros(len(docs)), iter(place)
+    for i, ps in enumerate(pieces):
+        state = model.start
+        for k in (next(nth) for _ in ps):
+            state = state @ mats[k]
+            s = state.sum()
+            state = state / s
+            out[i] += logs[k] + np.log(s)
     return out
 
 
@@ -219,13 +252,13 @@ def train(encoded: DataFrame, shares: np.ndarray) -> Model:
 
 def _common(vocab: DataFrame) -> list:
     """The words with the largest counts, by a bound on the count that leaves at most COMMON_WORDS."""
-    short = vocab.where(F.octet_length("word") <= COMMON_BYTES).withColumn("size", F.floor(F.log2("c") * 8))
+    sized = vocab.withColumn("size", F.floor(F.log2("c") * 8))
     left, bound = COMMON_WORDS, 1 << 20
-    for size, n in sorted(map(tuple, short.groupBy("size").count().collect()), reverse=True):
+    for size, n in sorted(map(tuple, sized.groupBy("size").count().collect()), reverse=True):
         if n > left:
             break
         left, bound = left - n, size
-    return short.where(F.col("size") >= bound).select("word", "c").collect()
+    return sized.where(F.col("size") >= bound).select("word", "c").collect()
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -267,10 +300,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, known, logs, ids, rare = [], [], [], [], []
+                n, known, logs, ids, rare, times, ends = [], [], [], [], [], [], [0]
                 for text in part.column("text").to_pylist():
-                    ws = tokens(text)
-                    pos = np.fromiter((place.get(w, -1) for w in ws), np.int64, len(ws))
+                    ws = known_as(tokens(text))
+                    pos = np.fromiter(map(place.get, ws, repeat(-1)), np.int64, len(ws))
                     lost = np.flatnonzero(pos < 0)
                     found = pos[pos >= 0]
                     own = np.full(len(ws) + 1, CLASSES, np.int64)
@@ -282,13 +315,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     known.append(len(found))
                     logs.append(float(log_c[found].sum()))
                     ids.append(own.astype("<u2").tobytes())
-                    rare.append(list(Counter(others).items()))
+                    found_rare = Counter(others)
+                    rare += found_rare.keys()
+                    times += found_rare.values()
+                    ends.append(len(rare))
                 arrays = [part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(ids, pa.binary())]
-                arrays.append(pa.array([[{"word": w, "n": k} for w, k in x] for x in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))))
+                each = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "known", "logs", "ids", "rare"])
 
     ddl = "doc_id long, held_out boolean, n_tokens long, known long, logs double, ids binary, rare array<struct<word:binary,n:long>>"
-    encoded = written(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(encode, ddl).withColumn("row_id", F.monotonically_increasing_id()), "lm-encoded")
+    encoded = written(in_small_batches(rows.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(encode, ddl).withColumn("row_id", F.monotonically_increasing_id()), "lm-encoded")
     model = train(encoded.where(~F.col("held_out")), shares)
     # log10 of each class's divisor, and of the base's.
     divisor = np.log10(class_n + class_v + 1)

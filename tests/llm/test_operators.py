@@ -276,3 +276,38 @@ def test_pipeline(spark, docs):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     want = {c for _, _, c in brute_components(ROWS)}
     assert sorted(ids) == sorted(want) and kept.columns == rows.columns
+
+
+def test_expected_counts_by_plain_recursion():
+    """Baum-Welch counts of some pieces against the sums over all paths' probabilities, state by state."""
+    r = np.random.default_rng(7)
+    model = hmm.Model.seeded(r.dirichlet(np.ones(hmm.CLASSES + 1)))
+    pieces, firsts = [r.integers(0, 50, n) for n in (4, 1, 7, 4)], np.array([True, False, True, False])
+    start, between, move, emit, total = hmm.expected_counts(model, pieces, firsts)
+    want = [np.zeros_like(x) for x in (start, between, move, emit)]
+    like = 0.0
+    for p, first in zip(pieces, firsts, strict=True):
+        forward = [model.start if first else model.between]
+        for x in p:
+            forward.append((forward[-1] @ model.move) * model.emit[:, x])
+        back = [np.ones(hmm.STATES)]
+        for x in p[::-1]:
+            back.append(model.move @ (model.emit[:, x] * back[-1]))
+        back, whole = back[::-1], forward[-1].sum()
+        like += math.log(whole)
+        want[0 if first else 1] += forward[0] * back[0] / whole
+        for t, x in enumerate(p):
+            want[2] += forward[t][:, None] * model.move * (model.emit[:, x] * back[t + 1])[None, :] / whole
+            want[3][:, x] += forward[t + 1] * back[t + 1] / whole
+    assert all(np.allclose(a, b) for a, b in zip((start, between, move, emit), want, strict=True)) and abs(total - like) < 1e-9
+
+
+def test_language_model_tells_long_words_by_digest(spark):
+    long, other = "w" * 300_000, "w" * 300_001
+    rows = [(i, f"{long} a b {other if i == 4 else 'c'}", None) for i in range(12)]
+    assert hmm.known_as([b"a"]) == [b"a"] and len(set(hmm.known_as([long.encode(), other.encode()]))) == 2
+    split = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t, _ in rows if not split(i) for w in [*t.split(), None])
+    got = {x.doc_id: x for x in hmm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, _ in rows:
+        assert got[i].n_known == sum(counts[w] > 0 for w in [*t.split(), None]) and got[i].train_tokens == sum(counts.values())
