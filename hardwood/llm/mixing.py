@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hardwood.llm.common import WORD_PATTERN, table, written
+from hardwood.llm.common import WORD_PATTERN, join_hot, table, written
 
 #: The sources' weights in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -44,9 +44,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: str
     """``docs`` with mix_size (words), mix_source_size, mix_target and mix_copies.
 
     A source's repetition rate is target / size. A document is taken floor(rate) times, and once
-    more if a number hashed from the seed and its doc_id falls below the fraction; reruns agree.
-    A null text has no words and a null source is a source of its own, the last. Repeated rows
-    share their number. A source without words has rate 0. Extra columns are kept; those named
+    more if a number hashed from the seed and its doc_id (without one, its text) falls below the
+    fraction; reruns agree. A null text has no words and a null source is a source of its own, the
+    last. Repeated rows share their number. A source without words has rate 0. Extra columns are kept; those named
     like the four new ones are replaced. An empty table gives no rows.
 
     Sizes are summed per source before the shuffle, and one row per source is joined back.
@@ -56,23 +56,32 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: str
         F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
     )
     rate = F.col("__target") / F.nullif(F.col("__source_size"), F.lit(0))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(16**13)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name)), 1, 13), 16, 10).cast("double") / float(16**13)
     copies = F.coalesce(F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0), F.lit(0)).cast("long")
-    # Counted first: a few sources go to every task, so that no text is shuffled; many are joined.
-    targets = written(targets, "mix-targets")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    out = docs.join(targets, docs["source"].eqNullSafe(F.col("__source")))
+    # Counted first: a few sources go to every task, so that no text is shuffled; of many the largest do.
+    targets = written(targets.withColumn("__key", _key("__source")).drop("__source"), "mix-targets")
+    rows = docs.withColumn("__key", _key("source"))
+    out = rows.join(F.broadcast(targets), "__key") if targets.count() <= BROADCAST_SOURCES else join_hot(rows, targets, "__key")
     return out.withColumns(
         {"mix_size": size, "mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_copies": copies}
-    ).drop("__source", "__source_size", "__target")
+    ).drop("__key", "__source_size", "__target")
+
+
+def _key(source: str) -> Column:
+    """A source, or none, as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
 
 
 def emit_mixture(docs: DataFrame, **how) -> DataFrame:
-    """Each document as often as the mix takes it, with the columns of ``docs``."""
-    mixed = mix_sources(docs, **how)
+    """Each document as often as the mix takes it, with the columns of ``docs``, whatever they are called.
+
+    Nulls, repeated rows and an empty table are as in ``mix_sources``.
+    """
+    own = {c: f"__own_{c}" for c in docs.columns if c not in ("doc_id", "source", "text")}
+    mixed = mix_sources(docs.withColumnsRenamed(own), **how)
     copies = F.expr("case when mix_copies > 0 then sequence(1L, mix_copies) else array() end")
-    return mixed.withColumn("mix_copy", F.explode(copies)).select(*docs.columns)
+    return mixed.withColumn("mix_copy", F.explode(copies)).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +92,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
+with d as (select doc_id, source, coalesce(text, '') as text, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select *, cast(case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as bigint) as w from s),
 f as (select *, cast(source_size as double) / w as k,
@@ -92,7 +101,7 @@ f as (select *, cast(source_size as double) / w as k,
 c as (select first(level order by k, level) as common from f where level * w <= source_size * 3),
 t as (select source, source_size, coalesce(least(common * w, cast(source_size * 3 as double)), cast(source_size * 3 as double)) as target from f left join c on true),
 m as (select doc_id, size, source_size, target, target / nullif(source_size, 0) as rate,
-    cast(cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint) as double) / 4503599627370496.0 as draw
+    cast(cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), 'null:' || md5(text))), 1, 13) as bigint) as double) / 4503599627370496.0 as draw
     from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
     cast(coalesce(floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end, 0) as bigint) * size as taken from m

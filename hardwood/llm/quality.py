@@ -191,10 +191,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Votes: 2 good, 1 bad, 0 none.
 GOOD, BAD, NO_VOTE = 2, 1, 0
-#: The scorer is trained on about this many documents, those whose hashes are smallest.
+#: The scorer is trained on about this many different documents, those whose hashes are smallest, and twice as many at most.
 TRAIN_DOCS = 2_000
-#: Bounds of a labeller's rates of bad votes, on bad and on good documents.
-SPOTS, FALSE_ALARM = (0.1, 0.6), (0.0001, 0.005)
+#: Assumed beforehand: a labeller's rates of bad votes on bad and on good documents, the share of good
+#: documents, and how much that weighs, as a share of all documents.
+RATES, GOOD_SHARE, WEIGHT = (0.3, 0.002), 0.85, 0.005
 
 
 def _vote(value: float, good: float, bad: float) -> int:
@@ -269,26 +270,26 @@ def fit_label_model(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int,
     """Expectation-maximisation over vote patterns and their numbers of documents.
 
     A labeller that votes is right about good documents with one probability and about bad ones
-    with another. Each labeller knows one kind of bad document, so it often votes good on the
-    others (``SPOTS`` bounds how often it spots a bad one), but seldom bad on a good one
-    (``FALSE_ALARM`` bounds that). Not voting says nothing. Returns each pattern's probability of
-    being good, the labellers' rates of bad votes (labeller; on bad, on good documents) and the
-    share of good documents.
+    with another; not voting says nothing. The rates, and the share of good documents, are the
+    expected counts with a weak prior (``RATES``, ``GOOD_SHARE``, worth ``WEIGHT`` of all documents) that
+    tells the two classes apart. A labeller with many false alarms so loses its weight. Returns each
+    pattern's probability of being good, the labellers' rates of bad votes (labeller; on bad, on good
+    documents) and the share of good documents.
     """
     k = len(LABELLERS)
     patterns = sorted(counts)
     votes = np.array([pattern_votes(p) for p in patterns]).reshape(-1, k)
     n = np.array([counts[p] for p in patterns], float)
     bad_vote, good_vote = (votes == BAD).astype(float), (votes == GOOD).astype(float)
-    rates, good, post = np.tile([0.3, FALSE_ALARM[1]], (k, 1)), 0.85, np.zeros(len(patterns))
+    prior, weight = np.array(RATES), WEIGHT * n.sum()
+    rates, good, post = np.tile(prior, (k, 1)), GOOD_SHARE, np.zeros(len(patterns))
     for _ in range(rounds if len(patterns) else 0):
         like = bad_vote @ np.log(rates) + good_vote @ np.log(1 - rates) + np.log([1 - good, good])
         post = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
         mass = np.stack([n * (1 - post), n * post], 1)
         said, voted = bad_vote.T @ mass, (bad_vote + good_vote).T @ mass
-        rates = said / np.maximum(voted, 1e-9)
-        rates = np.stack([np.clip(rates[:, 0], *SPOTS), np.clip(rates[:, 1], *FALSE_ALARM)], 1)
-        good = float(np.clip(mass[:, 1].sum() / n.sum(), 0.5, 0.98))
+        rates = (said + weight * prior) / (voted + weight)
+        good = float((mass[:, 1].sum() + weight * GOOD_SHARE) / (n.sum() + weight))
     return dict(zip(patterns, post.tolist(), strict=True)), rates, good
 
 
@@ -300,21 +301,16 @@ def hashed_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, value / math.sqrt(float((value**2).sum()))
 
 
-def train_scorer(texts: list[str | None], labels: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on hashed features against probabilities; the last weight is the bias."""
-    rows, cols, values = [], [], []
-    for i, text in enumerate(texts):
-        at, value = hashed_features(text)
-        rows.append(np.full(len(at), i))
-        cols.append(at)
-        values.append(value)
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+def train_scorer(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression on ``hashed_features`` against probabilities; the last weight is the bias."""
+    row = np.repeat(np.arange(len(features)), [len(at) for at, _ in features])
+    col, value = (np.concatenate([f[i] for f in features]) for i in range(2))
     w, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     # Both classes weigh the same.
     weight = labels / max(labels.sum(), 1e-9) + (1 - labels) / max((1 - labels).sum(), 1e-9)
     weight *= 1 / weight.sum()
     for step in range(1, steps + 1):
-        z = np.bincount(row, value * w[col], len(texts)) + w[-1]
+        z = np.bincount(row, value * w[col], len(features)) + w[-1]
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
         g = np.append(np.bincount(col, value * d[row], BUCKETS), d.sum())
         g[:-1] += decay * w[:-1]
@@ -333,17 +329,19 @@ def classify_quality(docs: DataFrame, threshold: float = 0.1, train_docs: int =
 
     Eight heuristic labellers vote good, bad or not at all on every document. Expectation-
     maximisation over the vote patterns of all documents estimates how often each labeller is
-    right; its posteriors label about ``train_docs`` documents, those with the smallest hashes, on
-    which a hashed linear scorer is trained. The scorer judges every document: kept if its
-    probability of being good is at least ``threshold`` (low: only clear cases go).
+    right; its posteriors label about ``train_docs`` different documents, those with the smallest
+    hashes, on which a hashed linear scorer is trained. The scorer judges every document: kept if
+    its probability of being good is at least ``threshold`` (low: only clear cases go).
 
     A null or empty text gets no votes, the prior as label, and is scored by the bias and the end
-    marks alone. Repeated rows get the same score. With no documents to train on, all are kept.
-    Extra columns are kept unless named like a new one; an empty table gives no rows.
+    marks alone. Repeated rows get the same score and train the scorer once. With no documents to
+    train on, all are kept. Extra columns are kept unless named like a new one; an empty table gives
+    no rows.
 
-    3**8 pattern counts at most, and the sample's bounded features, are gathered in one place.
+    3**8 pattern counts at most, and the sample's features, 2 * ``train_docs`` rows of 2**14 numbers at
+    most, are gathered in one place; its texts are not.
     """
-    rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,14 +354,24 @@ def classify_quality(docs: DataFrame, threshold: float = 0.1, train_docs: int =
     bound = -(1 << 63) + (1 << 64) * min(1.0, train_docs / max(n, 1))
     sample = rows.where(F.col("h").cast("double") <= F.lit(float(bound)))
 
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if h not in seen and len(seen) < 4 * train_docs:
+                    seen.add(h)
+                    at, value = hashed_features(text.as_py())
+                    out.append((h, posteriors.get(vote_pattern(text.as_py()), 0.5), at.astype("<i4").tobytes(), value.astype("<f8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.binary(), pa.binary()))], ["h", "label", "at", "value"])
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((h, t or "") for batch in batches for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        texts = [t for _, t in got[: 2 * train_docs]]
-        labels = np.array([posteriors.get(vote_pattern(t), 0.5) for t in texts])
-        w = train_scorer(texts, labels) if texts and 0 < labels.sum() < len(labels) else np.append(np.zeros(BUCKETS), 1.0)
+        got = sorted({r["h"]: (r["label"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f8")) for batch in batches for r in batch.to_pylist()}.items(), key=lambda r: r[0])[: 2 * train_docs]
+        labels = np.array([r[0] for _, r in got])
+        w = train_scorer([r[1:] for _, r in got], labels) if got and 0 < labels.sum() < len(labels) else np.append(np.zeros(BUCKETS), 1.0)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
-    picked = written(sample.select("h", "text"), "quality-train").coalesce(1)
+    picked = written(in_small_batches(sample).mapInArrow(features, "h long, label double, at binary, value binary"), "quality-train").coalesce(1)
     fitted = picked.mapInArrow(fit, "w binary").collect() if n else []
     weights = np.frombuffer(fitted[0][0]) if fitted else np.append(np.zeros(BUCKETS), 1.0)
 

@@ -311,3 +311,133 @@ def test_language_model_tells_long_words_by_digest(spark):
     got = {x.doc_id: x for x in hmm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, t, _ in rows:
         assert got[i].n_known == sum(counts[w] > 0 for w in [*t.split(), None]) and got[i].train_tokens == sum(counts.values())
+
+
+def test_label_model_distrusts_a_labeller_with_many_false_alarms():
+    """One labeller votes bad on a third of the documents that all others call good."""
+    k = len(quality.LABELLERS)
+    pattern = lambda bad: int("".join("1" if i in bad else "2" for i in range(k)), 3)
+    post, rates, good = quality.fit_label_model({pattern(()): 5000, pattern((4,)): 2500, pattern((0, 1, 2)): 400, pattern((0, 1)): 300, pattern((0, 1, 4)): 100})
+    assert abs(rates[4, 1] - 1 / 3) < 0.05 and post[pattern((4,))] > 0.9 and post[pattern(())] > 0.9
+    assert max(post[pattern(b)] for b in ((0, 1, 2), (0, 1), (0, 1, 4))) < 0.1 and 0.85 < good < 0.95
+
+
+def test_label_model_by_plain_rounds():
+    """Expectation-maximisation against sums over documents, one at a time."""
+    k, r = len(quality.LABELLERS), random.Random(3)
+    docs = ["".join(r.choice("0122") for _ in range(k)) for _ in range(60)]
+    post, rates, good = quality.fit_label_model(Counter(int(d, 3) for d in docs), rounds=5)
+    q, g, weight = [list(quality.RATES) for _ in range(k)], quality.GOOD_SHARE, quality.WEIGHT * len(docs)
+    for _ in range(5):
+        said, voted, p = [[0.0, 0.0] for _ in range(k)], [[0.0, 0.0] for _ in range(k)], {}
+        for d in docs:
+            like = [1 - g, g]
+            for i, v in enumerate(d):
+                for c in range(2):
+                    like[c] *= {"0": 1.0, "1": q[i][c], "2": 1 - q[i][c]}[v]
+            p[d] = like[1] / sum(like)
+            for i, v in enumerate(d):
+                for c, share in enumerate((1 - p[d], p[d])):
+                    said[i][c] += share * (v == "1")
+                    voted[i][c] += share * (v != "0")
+        q = [[(said[i][c] + weight * quality.RATES[c]) / (voted[i][c] + weight) for c in range(2)] for i in range(k)]
+        g = (sum(p[d] for d in docs) + weight * quality.GOOD_SHARE) / (len(docs) + weight)
+    assert np.allclose(rates, q) and abs(good - g) < 1e-12 and all(abs(post[int(d, 3)] - p[d]) < 1e-9 for d in docs)
+
+
+def test_quality_classifier_against_labels(spark):
+    from hardwood.llm.common import table
+
+    sf = SF.replace("sf0.001", "sf0.01")
+    out = quality.classify_quality(table(spark, sf, "documents"), columns=["doc_id"]).join(table(spark, sf, "labels"), "doc_id")
+    got = {(r["quality"], r["quality_kept"]): r["count"] for r in out.groupBy("quality", "quality_kept").count().collect()}
+    good, bad = got.get((1, True), 0) + got.get((1, False), 0), got.get((0, True), 0) + got.get((0, False), 0)
+    assert got.get((1, True), 0) >= 0.99 * good and got.get((0, False), 0) >= 0.75 * bad
+
+
+def test_ratio_by_plain_counts(docs):
+    """Weights and scores of the quality rules from counts of 4-grams of bytes, one text at a time."""
+    raw, target = Counter(), Counter()
+    grams = lambda t: [quality.ngram_buckets(t)[i] for i in range(len(quality.ngram_buckets(t)))]
+    for _, t, _ in ROWS:
+        if t:
+            raw.update(grams(t))
+            if quality.trusted(t, quality.text_counts(t)):
+                target.update(grams(t))
+    b = quality.BUCKETS
+    weight = {k: math.log((target[k] + 1) / (sum(target.values()) + b)) - math.log((raw[k] + 1) / (sum(raw.values()) + b)) for k in raw}
+    want = Counter((i, round(sum(weight[k] for k in grams(t)) / len(grams(t)), 9) if t else 0.0) for i, t, _ in ROWS)
+    out = quality.apply_quality_rules(docs, columns=["doc_id"]).collect()
+    assert Counter((r.doc_id, round(r.score, 9)) for r in out) == want
+    for r in out:
+        assert r.kept == (not r.base_failed and r.score >= quality.RATIO_THRESHOLD)
+
+
+def test_rule_counts_by_plain_code(docs):
+    for _, t, _ in ROWS + [(0, "a#b\na#b\n \nc|d <e> *\n*", None), (0, "x\n\nx\n\n", None)]:
+        ws, seen, again = re.findall(r"[^\x20\x09-\x0D]+", t or ""), set(), 0
+        for line in (t or "").split("\n"):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                again += line in seen
+                seen.add(line)
+        got = quality.text_counts(t)
+        assert (got["word_chars"], got["n_symbols"], got["n_dup_lines"]) == (sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t or ""), again)
+
+
+def test_mixture_keeps_columns_of_any_name_and_draws_by_text_without_doc_id(spark):
+    rows = [(None, prose(20), "a", 1, 2) for _ in range(300)] + [(i, prose(20), "b", 3, 4) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size int, mix_copies int")
+    out = mixing.emit_mixture(docs)
+    assert out.columns == docs.columns and {(r.mix_size, r.mix_copies) for r in out.collect()} == {(1, 2), (3, 4)}
+    got = mixing.mix_sources(docs.drop("mix_size", "mix_copies")).where("source = 'b'").groupBy("mix_copies").count().collect()
+    assert len(got) >= 1
+    a = mixing.mix_sources(docs.drop("mix_size", "mix_copies")).where("doc_id is null").agg(F.sum(F.col("mix_copies") * F.col("mix_size")), F.first("mix_target")).first()
+    assert abs(a[0] - a[1]) < 0.15 * a[1]
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    many = sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
+    monkeypatch.undo()
+    assert many == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    t, u = BASE[0], BASE[1]
+    rows = [(1, t, "x"), (5, t, "x"), (5, u, "x"), (5, u, "y"), (None, t, "x"), (None, BASE[2], "x"), (None, changed(BASE[2], 60), "x"), (7, None, "x"), (7, None, "x"), (8, "", "x")]
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()]
+    assert Counter(r[0] for r in kept) == Counter([1, 5, None, 7, 8]) and (1, t, "x") in kept and len([r for r in kept if r[1] == u]) == 1
+    assert not corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), SF).collect()
+
+
+def test_jaccard_recursion_over_regions(spark, monkeypatch):
+    """Blocks of any size are regions; groups about the threshold split several times, the rest goes in chunks."""
+    rows = []
+    for g in range(3):
+        ws = prose(60).split(" ")
+        for i in range(30):
+            for k in R.sample(range(60), 2):
+                ws[k] = R.choice(WORDS)
+            rows.append((1000 * g + i, " ".join(ws), None))
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 7)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_comparison_of_full_chunks_of_short_sets():
+    """Two chunks of as many sets as a chunk holds, copies of a few that differ in some shingles."""
+    import pyarrow as pa
+
+    r, n = np.random.default_rng(2), jaccard.CHUNK_SETS
+    base = r.integers(0, 1 << 63, (10, 12)).astype(np.uint64)
+    sets = [np.unique(np.where(r.random(12) < 0.1, r.integers(0, 1 << 63, 12).astype(np.uint64), base[i % 10])) for i in range(2 * n)]
+    table = pa.table({"set": np.arange(2 * n), "chunk": np.arange(2 * n) // n, "label": np.arange(2 * n), "raw": pa.array([s.tobytes() for s in sets], pa.binary())})
+    out = jaccard._compare(75)((pa.scalar(0), pa.scalar(1)), table).to_pylist()
+    for x in out:
+        a, b = set(sets[x["set"]].tolist()), set(sets[x["pivot"]].tolist())
+        assert 100 * len(a & b) >= 75 * len(a | b)
+    assert len(out) > n
