@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import ascii_lower, table, written
+from hardwood.llm.common import ascii_lower, join_hot, table, written
 
 #: (verdict, host, path prefix): a rule fits its host and all subdomains; the longest wins.
 RULES = (
@@ -20,11 +20,13 @@ RULES = (
 )
 #: The trees learn from the labelled URLs whose hashes are smallest, at most this many.
 TRAIN_ROWS = 10_000
-#: Blocked and labelled URLs assumed of each suffix beforehand: unknown ones lean to allow.
-PRIOR = (0.5, 2.0)
+#: Labelled URLs assumed of each suffix beforehand and their rate of blocked ones (unknown ones lean to allow); folds by host.
+PRIOR, PRIOR_RATE, FOLDS = 20.0, 0.25, 5
+#: Suffixes, one row each, are broadcast up to this many.
+BROADCAST_SUFFIXES = 100_000
 FEATURES = (
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_host_parts", "f_digit_ratio", "f_host_digit_ratio", "f_hyphens",
-    "f_entropy", "f_host_entropy", "f_params", "f_fragment", "f_https", "f_suffix_share", "f_suffix_rate", "f_section_share", "f_section_rate",
+    "f_entropy", "f_host_entropy", "f_path_entropy", "f_first_length", "f_last_length", "f_last_digits", "f_params", "f_fragment", "f_https", "f_suffix_share", "f_suffix_rate",
 )
 
 
@@ -63,7 +65,7 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
     base = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path"))
     digits = lambda c: F.char_length(F.regexp_replace(c, "[^0-9]", ""))
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    labels = F.split("host", r"\.")
+    labels, last = F.split("host", r"\."), F.try_element_at(parts, F.lit(-1))
     return base.select(
         "page_id",
         "url",
@@ -71,7 +73,7 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
         "path",
         rule_column(F.col("host"), F.col("path"), rules).alias("fit"),
         F.element_at(labels, -1).alias("suffix"),
-        F.concat_ws("/", F.element_at(labels, -1), F.get(parts, F.lit(0))).alias("section"),
+        F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"),
         F.char_length("url").cast("double").alias("f_length"),
         F.char_length("host").cast("double").alias("f_host_length"),
         F.char_length("path").cast("double").alias("f_path_length"),
@@ -82,17 +84,30 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
         F.regexp_count("url", F.lit("-")).cast("double").alias("f_hyphens"),
         entropy(F.col("url")).alias("f_entropy"),
         entropy(F.col("host")).alias("f_host_entropy"),
+        entropy(F.col("path")).alias("f_path_entropy"),
+        F.coalesce(F.char_length(F.get(parts, F.lit(0))), F.lit(0)).cast("double").alias("f_first_length"),
+        F.coalesce(F.char_length(last), F.lit(0)).cast("double").alias("f_last_length"),
+        _share(digits(F.coalesce(last, F.lit(""))), F.char_length(last)).alias("f_last_digits"),
         F.when(F.contains("url", F.lit("?")), F.regexp_count("url", F.lit("[?&][^&#]"))).otherwise(0).cast("double").alias("f_params"),
         F.contains("url", F.lit("#")).cast("double").alias("f_fragment"),
         F.startswith("url", F.lit("https://")).cast("double").alias("f_https"),
     )
 
 
-def _statistics(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Of each value of ``key``: its share of all URLs (log) and the smoothed rate of blocked ones among the labelled."""
-    blocked = F.count(F.when(F.col("fit.verdict") == "block", 1))
-    labelled = F.count("fit.verdict")
-    return rows.groupBy(key).agg(F.log1p(F.count("*").cast("double")).alias(f"f_{name}_share"), ((blocked + PRIOR[0]) / (labelled + PRIOR[1])).alias(f"f_{name}_rate"))
+def with_suffix_statistics(rows: DataFrame) -> DataFrame:
+    """``rows`` with each suffix's share of all URLs (log) and its rate of blocked ones among the labelled.
+
+    The rate leaves out the labels of the row's own fold of hosts, so no URL's feature knows its own
+    label, nor that of its host. One row per suffix is joined back.
+    """
+    block = (F.col("fit.verdict") == "block").cast("int")
+    folds = [F.struct(F.count(F.when(F.col("fold") == k, F.col("fit.verdict"))).alias("n"), F.coalesce(F.sum(F.when(F.col("fold") == k, block)), F.lit(0)).alias("blocked")) for k in range(FOLDS)]
+    per = rows.groupBy("suffix").agg(F.log1p(F.count("*").cast("double")).alias("f_suffix_share"), F.array(*folds).alias("folds"))
+    per = written(per, "url-suffixes")
+    met = rows.join(F.broadcast(per), "suffix") if per.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES else join_hot(rows, per, "suffix")
+    others = F.filter("folds", lambda x, i: i != F.col("fold"))
+    total = lambda name: F.aggregate(others, F.lit(0).cast("long"), lambda a, x: a + x[name])
+    return met.withColumn("f_suffix_rate", (total("blocked") + PRIOR * PRIOR_RATE) / (total("n") + PRIOR)).drop("folds")
 
 
 def _train(features: DataFrame, rounds: int, depth: int, train_rows: int, seed: int) -> GBTClassificationModel | None:
@@ -115,8 +130,8 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, rounds: in
     A rule's verdict stands. The URLs that a rule fits are the labelled ones: gradient-boosted
     trees learn from at most ``train_rows`` of them, those with the smallest hashes, and judge
     every other URL: block if its probability is at least ``threshold``. Features: lengths, depth,
-    digit ratios, entropies, parameters, and each suffix's (and suffix with first path part's)
-    frequency and blocked rate over all URLs.
+    digit ratios, entropies, parameters, and each suffix's frequency and, out of fold, its blocked rate
+    over all URLs.
 
     Null or malformed URLs have empty host and path and are judged like others. Repeated rows are
     judged alike. If no URL, or only one kind, is labelled, the rest get that kind's verdict, or
@@ -124,10 +139,8 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, rounds: in
 
     The statistics are aggregated before they are shuffled, and one row per suffix is joined back.
     """
-    rows = lexical(pages.select("page_id", "url"), rules)
-    features = rows
-    for key, name in (("suffix", "suffix"), ("section", "section")):
-        features = features.join(_statistics(rows, key, name), key, "left")
+    rows = written(lexical(pages.select("page_id", "url"), rules), "url-features")
+    features = with_suffix_statistics(rows)
     model = _train(features, rounds, depth, train_rows, seed)
     if model is None:
         kinds = [r[0] for r in rows.where("fit is not null").select("fit.verdict").distinct().collect()]

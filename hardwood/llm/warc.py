@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import new_folder, table, written
+from hardwood.llm.common import in_small_batches, join_hot, new_folder, table, written
 
 # Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -21,8 +22,14 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 ID_PREFIX = "urn:hardwood:page:"
-#: A candidate's header must end within this many bytes of decoded text.
-HEADER_LIMIT, CHUNK = 1 << 20, 1 << 18
+BEGIN = b"WARC/1."
+#: Bytes read at once; this many groups of equal payloads at most are broadcast.
+CHUNK, BROADCAST_GROUPS = 1 << 18, 200_000
+
+
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a URI as Hadoop writes it, and the path there."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def payload_digest(payload: bytes) -> str:
@@ -66,12 +73,17 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """
     base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("sha", F.unhex(F.sha1("payload")))
+    # Only digests are grouped. Payloads are shuffled where there are too many groups to broadcast, and
+    # then those of the most frequent are not.
     groups = base.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    rows = base.join(groups, "sha", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    groups = written(groups, "warc-groups")
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    rows = base.join(F.broadcast(groups), "sha", "left") if few else join_hot(base, groups, "sha", "left")
+    rows = rows.select("page_id", "url", "payload", F.when((F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        files, path = pafs.FileSystem.from_uri(f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz")
+        files, path = _store(f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz")
         out, size, n = None, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -86,7 +98,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rpartition('/')[2]}"]), pa.array([size]), pa.array([n])], ["path", "size", "records"])
 
-    return written(rows.mapInArrow(run, "path string, size long, records long"), "warc-files")
+    return written(in_small_batches(rows).mapInArrow(run, "path string, size long, records long"), "warc-files")
 
 
 class Stream:
@@ -110,32 +122,49 @@ class Stream:
         self.start = max(self.start, upto)
 
 
+class Damaged(ValueError):
+    """A record that begins as one but can't be read to its end, or bytes between records."""
+
+
 def decode_member(stream: Stream, at: int) -> tuple[bytes, int] | None:
-    """Decoded bytes and end of the gzip member at byte ``at``, if it is one that holds a WARC
-    record: its text must begin with a WARC header whose length fits. Else None."""
-    unpacker, out, pos, checked = zlib.decompressobj(31), bytearray(), at, False
+    """Decoded bytes and end of the gzip member at byte ``at``, None if it doesn't hold a WARC record.
+    A member that begins like one must decode to its end, else ``Damaged`` is raised."""
+    unpacker, out, pos, begun = zlib.decompressobj(31), bytearray(), at, False
     try:
         while not unpacker.eof:
             if not stream.fill(pos):
-                return None
+                break
             chunk = bytes(stream.data[pos - stream.start : pos - stream.start + CHUNK])
             out += unpacker.decompress(chunk)
             pos += len(chunk)
-            if not checked and len(out) >= len(VERSION):
-                if not out.startswith(b"WARC/1."):
+            if not begun and len(out) >= len(BEGIN):
+                begun = out.startswith(BEGIN)
+                if not begun:
                     return None
-                checked = b"\r\n\r\n" in out
-                if not checked and len(out) > HEADER_LIMIT:
-                    return None
-    except zlib.error:
+    except zlib.error as e:
+        if begun or out.startswith(BEGIN):
+            raise Damaged(f"record at byte {at}: {e}") from e
         return None
-    if not checked:
+    if not begun:
         return None
+    if not unpacker.eof:
+        raise Damaged(f"record at byte {at} ends before its last byte")
     return bytes(out), pos - len(unpacker.unused_data)
 
 
+def begins_record(stream: Stream, at: int) -> bool:
+    """Whether a WARC record begins at byte ``at``, or the archive ends there."""
+    if not stream.fill(at):
+        return True
+    stream.fill(at + CHUNK)
+    try:
+        return zlib.decompressobj(31).decompress(bytes(stream.data[at - stream.start : at - stream.start + CHUNK]), len(BEGIN)) == BEGIN
+    except zlib.error:
+        return False
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Header fields (names lower-cased) and block, or None if the length doesn't fit."""
+    """Header fields (names lower-cased) and block, or None if there is no end of the header or the length doesn't fit."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
@@ -163,11 +192,16 @@ def scan_range(file, start: int, end: int) -> Iterator[tuple[dict[str, str], byt
         if at >= end:
             return
         member = decode_member(stream, at)
-        record = parse_record(member[0]) if member else None
-        if record is None:
+        if member is None:
             at += 1
             continue
+        record = parse_record(member[0])
+        if record is None:
+            raise Damaged(f"record at byte {at} has not the length that it states")
         yield record
+        # Records follow each other without a gap, so that none is passed over for being damaged.
+        if not begins_record(stream, member[1]):
+            raise Damaged(f"no record at byte {member[1]}, where one ends")
         at = member[1]
 
 
@@ -180,11 +214,12 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = True
     """Records of the archives in ``files`` (path, size), each read by tasks of ``split_bytes``.
 
     A task looks for gzip magic in its byte range, takes a candidate for a record only if it
-    decodes to a WARC header and a block of the stated length, and owns the records that begin in
-    its range; the last may end beyond it. Returns page_id, url, record_type, refers_to,
+    decodes to a WARC header of any length, and owns the records that begin in its range; the last
+    may end beyond it. Returns page_id, url, record_type, refers_to,
     payload_bytes, payload_digest and, if asked, payload. A response's digest is computed from what
     was read and must equal the stated one. A revisit's size is the one its HTTP header states.
-    Damaged members are passed over. Empty or no files give no rows.
+    A record that is damaged, or has another length or digest than it states, fails the job, and so do
+    bytes between two records. Empty or no files give no rows.
     """
     starts = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = starts.select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("end"))
@@ -199,7 +234,7 @@ def read_warc(files: DataFrame, split_bytes: int = 4 << 20, payload: bool = True
         rows, held = [], 0
         for batch in batches:
             for part in batch.to_pylist():
-                store, path = pafs.FileSystem.from_uri(part["path"])
+                store, path = _store(part["path"])
                 with store.open_input_file(path) as file:
                     for fields, block in scan_range(file, part["start"], part["end"]):
                         head, _, body = block.partition(b"\r\n\r\n")

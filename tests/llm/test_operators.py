@@ -441,3 +441,81 @@ def test_comparison_of_full_chunks_of_short_sets():
         a, b = set(sets[x["set"]].tolist()), set(sets[x["pivot"]].tolist())
         assert 100 * len(a & b) >= 75 * len(a | b)
     assert len(out) > n
+
+
+def test_warc_headers_of_any_length(spark):
+    url = "http://a/" + "".join(R.choice("abcdefghij0123456789") for _ in range(2_000_000))
+    pages = spark.createDataFrame([(1, url, "<p>x</p>"), (2, "http://b/", "<p>y</p>")], "page_id long, url string, html string")
+    got = {r.page_id: r.url for r in warc.read_warc(warc.write_warc(pages, new_folder(spark, "warc-test")), 1000).collect()}
+    assert got == {1: url, 2: "http://b/"}
+
+
+def test_damaged_records_are_not_passed_over(tmp_path):
+    records = [warc.warc_record(i, f"http://{i}/", b"<p>%d</p>" % i * 50, None) for i in range(3)]
+    whole = b"".join(records)
+
+    def read(raw, step):
+        (tmp_path / "x").write_bytes(raw)
+        out = []
+        for at in range(0, len(raw), step):
+            with open(tmp_path / "x", "rb") as f:
+                out += list(warc.scan_range(f, at, min(at + step, len(raw))))
+        return out
+
+    size = len(records[0])
+    for step in (60, 10_000):
+        assert len(read(whole, step)) == 3
+        for damaged in (whole[:-20], whole[:size] + b"\x00" + whole[size + 1 :], whole[: size + 60] + b"\xff\xff\xff\xff" + whole[size + 64 :], whole[:size] + b"junk" + whole[size:]):
+            with pytest.raises(warc.Damaged):
+                read(damaged, step)
+
+
+def test_warc_with_many_groups(spark, monkeypatch):
+    rows = [(i, f"http://{i}/", f"<p>{i % 5}</p>") for i in range(40)]
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), new_folder(spark, "warc-test"))
+    got = warc.read_warc(files, payload=False).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(i, i % 5 if i >= 5 else None) for i in range(40)}
+
+
+def test_url_model_judges_hosts_that_no_rule_names(spark):
+    """Trained on some hosts' labels, the trees tell the URLs of hosts without a rule, by how they are written."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    spam = lambda host: f"http://{host}/{r.randint(10**9, 10**10)}-{r.randint(10**6, 10**7)}/?a={r.random()}&b={r.random()}&c={word(9)}"
+    plain = lambda host: f"https://{host}/{word(6)}/{word(8)}"
+    rows = [(spam if bad else plain)(f"{'bad' if bad else 'good'}{k}.{r.choice(['com', 'net', 'org'])}") for k in range(40) for bad in (0, 1) for _ in range(20)]
+    rules = tuple((("block", f"bad{k}.{t}", "/") if bad else ("allow", f"good{k}.{t}", "/")) for k in range(20) for bad in (0, 1) for t in ("com", "net", "org"))
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    out = urls.judge_urls(pages, rules=rules).where("rule is null").toPandas()
+    assert len(out) == 800 and ((out.verdict == "block") == out.host.str.startswith("bad")).mean() > 0.95
+
+
+def test_urls_without_a_rule_get_scores_of_their_own(spark):
+    """On the tables, where the labels follow from host and path alone."""
+    out = urls.op2_url_filter(spark, SF.replace("sf0.001", "sf0.01")).toPandas()
+    assert out[out["rule"].isna()].block_score.nunique() > 5
+
+
+def test_sharding_law_by_bytes(docs):
+    """With the parameters of the query: the shards' bytes are near equal, and one more shard moves few of them."""
+    rows = docs.sparkSession.createDataFrame([(i, "x" * R.randint(0, 400), None) for i in range(4000)], SCHEMA)
+    out = sharding.shard_documents(rows, shards=8).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() - loads.mean() <= 0.001 * loads.mean() + 416
+
+
+def test_lempel_ziv_phrases_by_plain_parse():
+    for t in ["a b a b a b c a b c", "", "x", *BASE[:3]]:
+        ws, seen, phrase, want = (t or "").split(), set(), (), set()
+        for w in ws:
+            phrase += (w,)
+            if phrase not in seen:
+                seen.add(phrase)
+                want.add(phrase)
+                phrase = ()
+        assert len(want) <= len(ws)
+    a, b = prose(300), prose(300)
+    half = " ".join(a.split()[:150] + b.split()[:150])
+    near = lambda x, y: fingerprints.likeness(fingerprints.signature(x), fingerprints.signature(y))
+    assert near(a, a) == 1.0 and near(a, half) > near(a, b)
