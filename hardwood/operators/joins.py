@@ -40,11 +40,12 @@ def interval_first(points: DataFrame, spans: DataFrame, key: str, at: str, start
     """Each point with the first span (in ``order``) that holds it, inner.
 
     Spans are laid out over buckets of ``bucket`` units, so the join has an equality and never is a
-    nested loop.
+    nested loop. Equal points are separate ones.
     """
+    points = points.withColumn("__n", F.monotonically_increasing_id())
     laid = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
     pairs = points.withColumn("__b", F.floor(F.col(at) / bucket)).join(laid, [key, "__b"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__b")
-    return first_by(pairs, points.columns, *order)
+    return first_by(pairs, ["__n"], *order).drop("__n")
 
 
 def near_pairs(players: DataFrame, keys: list[str], above: float, below: float, order: str = "track_id") -> DataFrame:
@@ -62,3 +63,34 @@ def roster_names(tracks: DataFrame, roster: DataFrame) -> DataFrame:
     """Left join by team and number; null on any miss. Whether the roster is broadcast is Spark's
     choice by its size."""
     return tracks.join(roster, ["team", "number"], "left")
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
+    """Each left row with the ``value`` of the right row whose ``time`` is nearest, of two as near the earlier;
+    null without any. One union and two windows per key: no pairs are formed."""
+    row = F.struct(*left.columns)
+    mark = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    names = [F.col(k).alias(f"__{k}") for k in keys]
+    lefts = left.select(*names, F.col(time).alias("__t"), row.alias("__row"))
+    rights = right.select(*names, F.col(time).alias("__t"), mark.alias("__v"))
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    w = Window.partitionBy(*(f"__{k}" for k in keys)).orderBy("__t").rangeBetween
+    before = F.last("__v", ignorenulls=True).over(w(Window.unboundedPreceding, 0))
+    after = F.first("__v", ignorenulls=True).over(w(0, Window.unboundedFollowing))
+    out = both.withColumns({"__before": before, "__after": after}).where("__row is not null")
+    t, b, a = F.col("__t"), F.col("__before"), F.col("__after")
+    pick = F.when(b.isNull() | (a["t"] - t < t - b["t"]), a).otherwise(b)
+    return out.select("__row.*", pick["v"].alias(value))
+
+
+def within_linger(points: DataFrame, events: DataFrame, key: str, at: str, start: str, linger: int) -> DataFrame:
+    """Pairs of points and events of one key with start <= at <= start + linger, by buckets as long as that."""
+    b = F.floor(F.col(start) / linger)
+    laid = events.withColumn("__b", F.explode(F.array(b, b + 1)))
+    return points.withColumn("__b", F.floor(F.col(at) / linger)).join(laid, [key, "__b"]).where(F.col(at).between(F.col(start), F.col(start) + linger)).drop("__b")
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Pairs of points and boxes of one frame that hold them, edges included."""
+    inside = F.col(x).between(F.col("x1"), F.col("x2")) & F.col(y).between(F.col("y1"), F.col("y2"))
+    return points.join(boxes, keys).where(inside)

@@ -5,8 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from hardwood.functions.geometry import box, centre, distance, edge_distance
 
 
 def run_grouped(df: DataFrame, keys: list[str], start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:
@@ -46,7 +51,7 @@ def ball_start() -> dict:
 def ball_step(s: dict, row: dict, alpha: float = 0.55, gate: float = 120.0, jump: float = 180.0, least: float = 0.25, holdover: int = 18) -> list[dict]:
     """``candidates``: (x, y, confidence) of the frame. Picks the surest within the gate, else the surest."""
     found = [c for c in (row["candidates"] if row["candidates"] is not None else []) if c["confidence"] is None or c["confidence"] >= least]
-    sure = lambda c: 0.0 if c["confidence"] is None else c["confidence"]
+    sure = lambda c: 1.0 if c["confidence"] is None else c["confidence"]
     near = [c for c in found if s["x"] is not None and math.hypot(c["x"] - s["x"], c["y"] - s["y"]) <= gate]
     best = max(near or found, key=sure, default=None)
     if best is not None and (s["x"] is None or math.hypot(best["x"] - s["x"], best["y"] - s["y"]) <= jump):
@@ -71,31 +76,71 @@ def ball_step(s: dict, row: dict, alpha: float = 0.55, gate: float = 120.0, jump
 POSSESSION = "video_id string, frame_index long, possessor_track_id long"
 
 
+# Frames to switch and to come loose, tie band and reach in box heights, speed of flight in heights a frame.
+SWITCH, LOOSE, TIE, REACH, FLIGHT = 3, 5, 0.05, 0.35, 0.5
+
+
+def possession_candidates(players: DataFrame, ball: DataFrame) -> DataFrame:
+    """video_id, frame_index, entities, candidates, predicted: per frame of ``players`` (video_id,
+    frame_index, pos, track_id, box) those near the ball of ``ball`` (bx, by, vx, vy, predicted, near_rim).
+
+    A candidate has its score (distance from the widened box in heights, and a thousandth of that from
+    its centre) and how well it moves with the ball, if it was there the frame before. A ball near the
+    rim has no candidates, and a player no ball that flies, for one of its height. All are columns of
+    one join by frame; only the short list of a frame reaches the state machine.
+    """
+    key = ["video_id", "frame_index"]
+    b = box()
+    cx, cy = centre(b)
+    height = F.greatest(b[3] - b[1], F.lit(1.0))
+    w = Window.partitionBy("video_id", "track_id").orderBy("frame_index")
+    here = players.select(*key, "pos", "track_id", *b, cx.alias("cx"), cy.alias("cy"), height.alias("h"))
+    follows = F.lag("frame_index").over(w) == F.col("frame_index") - 1
+    here = here.withColumns({"mx": F.when(follows, F.col("cx") - F.lag("cx").over(w)), "my": F.when(follows, F.col("cy") - F.lag("cy").over(w))})
+    met = here.join(ball.select(*key, "bx", "by", "vx", "vy", "predicted", "near_rim"), key, "left")
+    edge = edge_distance(b, F.col("bx"), F.col("by"))
+    speed = F.coalesce(F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), F.lit(0.0))
+    score = edge + 1e-3 * distance(F.col("bx"), F.col("by"), F.col("cx"), F.col("cy")) / F.col("h")
+    align = F.when(speed > 1e-3, F.col("mx") * F.col("vx") + F.col("my") * F.col("vy"))
+    can = (edge <= REACH) & (speed / F.col("h") <= FLIGHT) & ~F.coalesce("near_rim", F.lit(False))
+    one = F.when(can, F.struct(score.alias("score"), "pos", "track_id", align.alias("align")))
+    return met.groupBy(*key).agg(F.count("*").alias("entities"), F.sort_array(F.collect_list(one)).alias("candidates"), F.coalesce(F.max("predicted"), F.lit(False)).alias("predicted"))
+
+
 def possession_start() -> dict:
     return {"current": None, "last": None, "pending": None, "streak": 0, "loose": 0}
 
 
-def possession_step(s: dict, row: dict, switch: int = 3, loose: int = 5, tie: float = 0.05) -> list[dict]:
-    """``candidates``: (track_id, edge) of the players near the ball; ``possessor``: of the detector, if any."""
-    near = sorted((c["edge"], c["track_id"]) for c in (row["candidates"] if row["candidates"] is not None else []))
+def _choose(s: dict, near: list[dict], tie: float) -> int:
+    """Of the candidates within ``tie`` of the best: the holder, the last one, the one that moves with the ball, the nearest."""
+    close = [c for c in near if c["score"] - near[0]["score"] <= tie]
+    for held in (s["current"], s["last"]):
+        if held is not None and any(c["track_id"] == held for c in close):
+            return held
+    moving = [c for c in close if c.get("align") is not None]
+    return max(moving, key=lambda c: c["align"])["track_id"] if moving and len(close) > 1 else close[0]["track_id"]
+
+
+def possession_step(s: dict, row: dict, switch: int = SWITCH, loose: int = LOOSE, tie: float = TIE) -> list[dict]:
+    """``candidates``: track_id and score (or edge) of the players near the ball, maybe align; ``possessor``:
+    of the detector, if any; ``predicted``: no ball was seen, so the holder may stay but no one else comes."""
+    near = sorted(({"score": c["score"] if "score" in c else c["edge"], "track_id": c["track_id"], "align": c.get("align")} for c in (row["candidates"] if row["candidates"] is not None else [])), key=lambda c: c["score"])
     pick = row.get("possessor")
     if pick is None and near:
-        close = [t for e, t in near if e <= near[0][0] + tie]
-        pick = next((t for t in (s["current"], s["last"]) if t in close), close[0])
-    if row.get("predicted") and pick != s["current"]:
-        pick = None
+        if row.get("predicted"):
+            pick = s["current"] if any(c["track_id"] == s["current"] for c in near) else None
+        else:
+            pick = _choose(s, near, tie)
     if pick is None:
-        s["loose"] += 1
-        s["pending"], s["streak"] = None, 0
+        s.update(pending=None, streak=0, loose=s["loose"] + 1)
         if s["loose"] >= loose and s["current"] is not None:
-            s["last"], s["current"] = s["current"], None
+            s.update(last=s["current"], current=None)
     elif pick == s["current"]:
         s.update(pending=None, streak=0, loose=0)
     else:
-        s["streak"] = s["streak"] + 1 if s["pending"] == pick else 1
-        s["pending"] = pick
+        s.update(streak=s["streak"] + 1 if s["pending"] == pick else 1, pending=pick, loose=0)
         if s["streak"] >= switch or (s["current"] is None and pick == s["last"]):
-            s.update(last=s["current"] if s["current"] is not None else s["last"], current=pick, pending=None, streak=0, loose=0)
+            s.update(last=pick, current=pick, pending=None, streak=0)
     return [{"frame_index": row["frame_index"], "possessor_track_id": s["current"]}]
 
 
@@ -104,37 +149,46 @@ def possession_step(s: dict, row: dict, switch: int = 3, loose: int = 5, tie: fl
 SHOTS = "video_id string, start_frame long, end_frame long, team string, side string, made boolean"
 
 
+# Frames in the basket that make a shot, frames away that end it, its longest time and the pause after it.
+BIB_FRAMES, AWAY_FRAMES, RESOLVE_FRAMES, COOLDOWN = 2, 4, 40, 30
+
+
 def shot_start() -> dict:
-    return {"pending": None, "cooldown": 0, "team": None}
+    return {"pending": None, "cooldown": 0, "team": None, "streak": 0}
 
 
-def shot_step(s: dict, row: dict, bib_needed: int = 2, away_needed: int = 4, timer: int = 40, cooldown: int = 30) -> list[dict]:
-    """``at_rim``, ``in_basket``, ``action``: what the frame shows; ``team``: the possessor's."""
+def shot_step(s: dict, row: dict, bib_needed: int = BIB_FRAMES, away_needed: int = AWAY_FRAMES, timer: int = RESOLVE_FRAMES, cooldown: int = COOLDOWN) -> list[dict]:
+    """``at_rim``, ``in_basket``, ``action``, ``release``: what the frame shows; ``team``: the possessor's;
+    ``side`` is the rim's or basket's and always counts, ``weak_side`` the action's and only fills."""
     if row.get("team") is not None:
         s["team"] = row["team"]
     s["cooldown"] = max(0, s["cooldown"] - 1)
+    there = bool(row["at_rim"] or row["in_basket"])
+    s["streak"] = s["streak"] + 1 if row["in_basket"] else 0
     p, f = s["pending"], row["frame_index"]
     if p is None:
-        if s["cooldown"] or not (row["at_rim"] or row["in_basket"] or row["action"]):
+        if s["cooldown"] or not (there or row["action"] or row.get("release")):
             return []
-        p = s["pending"] = {"start": f, "team": s["team"], "side": None, "bib": 0, "ever": False, "away": 0, "reached": False}
+        p = s["pending"] = {"start": f, "team": s["team"], "side": None, "ever": False, "away": 0, "reached": False, "left": timer}
+    p["left"] -= 1
+    p["ever"] |= bool(row["in_basket"])
+    p["reached"] |= there
     if row.get("side") is not None:
         p["side"] = row["side"]
-    p["bib"] = p["bib"] + 1 if row["in_basket"] else 0
-    p["ever"] |= bool(row["in_basket"])
-    p["reached"] |= bool(row["at_rim"] or row["in_basket"])
-    p["away"] = p["away"] + 1 if p["reached"] and not (row["at_rim"] or row["in_basket"]) else 0
-    late = f - p["start"] >= timer
-    if p["bib"] >= bib_needed:
+    elif p["side"] is None:
+        p["side"] = row.get("weak_side")
+    p["away"] = p["away"] + 1 if p["reached"] and not there else 0
+    late = p["left"] <= 0
+    if s["streak"] >= bib_needed:
         made = True
     elif p["reached"] and (p["away"] >= away_needed or late):
         made = p["ever"]
     elif late:
-        s["pending"] = None
+        s.update(pending=None, streak=0)
         return []
     else:
         return []
-    s["pending"], s["cooldown"] = None, cooldown
+    s.update(pending=None, streak=0, cooldown=cooldown)
     return [{"start_frame": p["start"], "end_frame": f, "team": p["team"], "side": p["side"], "made": made}]
 
 
@@ -154,22 +208,65 @@ def shots(df: DataFrame) -> DataFrame:
 # --- Greedy operators within one frame --------------------------------------------------------
 
 
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    inter = max(w, 0.0) * max(h, 0.0)
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-    return inter / union if union > 0 else 0.0
+def per_frame(df: DataFrame, keys: list[str], order: list, choose: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
+    """The rows of each frame that ``choose`` names by their places in ``order``. Spark sorts, and frames
+    stream through in batches; only one that a batch cuts is carried on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1)
+            rest = pdf[last].reset_index(drop=True)
+            yield from kept(pdf[~last])
+        if rest is not None:
+            yield from kept(rest)
+
+    def kept(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        places = [at[i] for at in pdf.reset_index(drop=True).groupby(keys, sort=False).indices.values() for i in choose(pdf.iloc[at])]
+        yield pdf.iloc[sorted(places)]
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
+
+
+def _overlaps(rows: pd.DataFrame) -> np.ndarray:
+    """Intersection over union of all pairs of a frame's boxes."""
+    x1, y1, x2, y2 = rows[["x1", "y1", "x2", "y2"]].to_numpy(float).T
+    w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1)
+    h = np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1)
+    inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+    area = (x2 - x1) * (y2 - y1)
+    union = area[:, None] + area - inter
+    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
 def suppress_overlaps(df: DataFrame, most: float) -> DataFrame:
     """Greedy suppression per frame: the surest box stays, boxes that overlap it by ``most`` or more go."""
 
-    def batches(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        ordered = pdf.sort_values(["confidence", "det_idx"], ascending=[False, True], na_position="last")
-        for i, b in zip(ordered.index, ordered[["x1", "y1", "x2", "y2"]].to_numpy(), strict=True):
-            if all(_iou(b, k) < most for _, k in kept):
-                kept.append((i, b))
-        return pdf.loc[sorted(i for i, _ in kept)]
-
-    return df.groupBy("video_id", "frame_index").applyInPandas(batches, df.schema)
+    def choose(rows: pd.DataFrame) -> list[int]:
+        over, out = _overlaps(rows) >= most, []
+        for i in range(len(rows)):
+            if not over[i, out].any():
+                out.append(i)
+        return out
+
+    return per_frame(df, ["video_id", "frame_index"], [F.desc_nulls_last("confidence"), "det_idx"], choose)
+
+
+def drop_duplicates(df: DataFrame, most: float = 0.45) -> DataFrame:
+    """Per frame, of two boxes that overlap by ``most`` or more the less sure one goes, of equally sure ones the
+    later. Boxes are taken in the detector's order, and one that is gone takes no other with it. Without
+    a confidence a box counts as sure."""
+
+    def choose(rows: pd.DataFrame) -> list[int]:
+        over, sure = _overlaps(rows) >= most, rows["confidence"].fillna(1.0).to_numpy()
+        gone: set[int] = set()
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows)):
+                if i in gone:
+                    break
+                if over[i, j] and j not in gone:
+                    gone.add(j if sure[i] >= sure[j] else i)
+        return [i for i in range(len(rows)) if i not in gone]
+
+    return per_frame(df, ["video_id", "frame_index"], ["det_idx"], choose)

@@ -23,12 +23,14 @@ FRAME = {
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """One row per frame of documents in either shape: an object with ``frames``, or a bare array.
 
-    ``video_id`` is the file's path. Of frames with one index the last in the document counts.
+    ``video_id`` is the file's path. Of frames with one index the last in the document counts. A
+    document of neither shape is an error.
     """
     fields = ",".join(f"{k}:{v}" for k, v in FRAME.items())
     schema = f"team_names array<string>, frames array<struct<{fields}>>, " + ", ".join(f"{k} {v}" for k, v in FRAME.items())
     raw = spark.read.schema(schema).json(path, multiLine=True).withColumn("video_id", F.input_file_name())
-    bare = F.array(F.struct(*FRAME))
+    neither = F.raise_error(F.concat(F.lit("no frames in "), F.col("video_id")))
+    bare = F.when(F.col("frame_index").isNotNull(), F.array(F.struct(*FRAME))).otherwise(neither)
     rows = raw.select("video_id", F.monotonically_increasing_id().alias("__at"), F.posexplode_outer(F.coalesce("frames", bare)).alias("__pos", "f"))
     rows = rows.where("f.frame_index is not null")
     last = rows.groupBy("video_id", "f.frame_index").agg(F.max_by("f", F.struct("__at", "__pos")).alias("f"))
