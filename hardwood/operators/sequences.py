@@ -49,7 +49,7 @@ def quadratic_fit(df: DataFrame, keys: list[str], t: str, y: str) -> DataFrame:
         return e[0] * (e[4] * e[8] - e[5] * e[7]) - e[1] * (e[3] * e[8] - e[5] * e[6]) + e[2] * (e[3] * e[7] - e[4] * e[6])
 
     rows = (("s4", "s3", "s2", "m2"), ("s3", "s2", "s1", "m1"), ("s2", "s1", "s0", "m0"))
-    pick = lambda *cols: det(*((r[i] for i in cols) for r in rows))
+    pick = lambda *cols: det(*(tuple(r[i] for i in cols) for r in rows))
     d = F.nullif(pick(0, 1, 2), F.lit(0.0))
     return sums.select(*keys, (pick(3, 1, 2) / d).alias("a"), (pick(0, 3, 2) / d).alias("b"), (pick(0, 1, 3) / d).alias("c"))
 
