@@ -32,7 +32,8 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, y, u, v = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
     top = np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], -1)
     low = np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], -1)
-    return np.linalg.svd(np.concatenate([top, low], 1))[2][:, -1].reshape(-1, 3, 3)
+    rows = np.concatenate([top, low], 1)
+    return np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3)
 
 
 def projected(h: np.ndarray, p: np.ndarray) -> np.ndarray:

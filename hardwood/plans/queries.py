@@ -229,10 +229,14 @@ def chunk_sizes(spark, sf_dir):
     return chunks.select("chunk", (F.floor(F.col("n") / 7) + (F.col("chunk") < F.col("n") % 7).cast("long")).alias("size"))
 
 
-@query()
+@query(f"""{WITH}, s as (select track_id, frame_index//15 arc, sum((frame_index%15)**4) s4, sum((frame_index%15)**3) s3, sum((frame_index%15)**2) s2, sum(frame_index%15) s1, count(*) s0,
+  sum((frame_index%15)**2*y_ft) m2, sum((frame_index%15)*y_ft) m1, sum(y_ft) m0 from p group by all),
+  d as (select *, nullif(s4*(s2*s0-s1*s1) - s3*(s3*s0-s1*s2) + s2*(s3*s1-s2*s2), 0) d from s)
+  select track_id, arc, round((m2*(s2*s0-s1*s1) - s3*(m1*s0-s1*m0) + s2*(m1*s1-s2*m0))/d, 6)+0.0e0 a, round((s4*(m1*s0-s1*m0) - m2*(s3*s0-s1*s2) + s2*(s3*m0-m1*s2))/d, 6)+0.0e0 b,
+  round((s4*(s2*m0-m1*s1) - s3*(s3*m0-m1*s2) + m2*(s3*s1-s2*s2))/d, 6)+0.0e0 c from d""")
 def parabola_fit(spark, sf_dir):
     p = players(spark, sf_dir).withColumn("t", F.col("frame_index") % 15).withColumn("arc", F.floor(F.col("frame_index") / 15))
-    return Q.quadratic_fit(p, ["track_id", "arc"], "t", "y_ft")
+    return Q.quadratic_fit(p, ["track_id", "arc"], "t", "y_ft").select("track_id", "arc", *((F.round(c, 6) + 0.0).alias(c) for c in "abc"))
 
 
 @query()

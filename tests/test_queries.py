@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from hardwood.plans.more import QUERIES, SQL
+from hardwood.plans.extra import QUERIES, SQL
 from tests.conftest import SF
 
 
