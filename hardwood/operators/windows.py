@@ -23,7 +23,7 @@ STEPS, HIT, NEAR = 400, 1.25, 3.0
 
 def arc_windows(sightings: DataFrame, keys: list[str], fps: float, min_len: int, amplitude: float = LEAST_AMPLITUDE) -> DataFrame:
     """keys, lo, hi, amplitude: of each key's runs of frames, cut to HALF_S around the highest sighting (``v``, down the
-    image), the one with the greatest amplitude whose parabola opens down the court, fits and has its vertex inside.
+    image), the one with the greatest amplitude whose parabola opens toward the bottom of the image, fits and has its vertex inside.
 
     Keys, runs and sums are grouped by Spark; of a run only its window's rows are fitted.
     """
