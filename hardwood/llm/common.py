@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hardwood.shared import new_folder, shared_dir, written
+
+__all__ = ["new_folder", "shared_dir", "written"]
+
 # Fixed value: a word is a run of characters other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
@@ -37,40 +39,6 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session names none and all runs in one process (tests, a laptop) a temporary
-    folder is set instead; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("hardwood.shared.dir", None)
-    if named is None:
-        there = sc._jsc.sc().getCheckpointDir()
-        if not there.isDefined() and sc.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = there.get() if there.isDefined() else f"file://{tempfile.mkdtemp(prefix='hardwood-')}"
-        if not there.isDefined():
-            sc.setCheckpointDir(named)
-        spark.conf.set("hardwood.shared.dir", named)
-    at = sc._jvm.org.apache.hadoop.fs.Path(named)
-    full = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return re.sub("^file:/+", "file:///", full).rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/hardwood/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: computed once, and
-    nothing of it is lost with an executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def delete_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
