@@ -19,51 +19,70 @@ LEAST_SAMPLES, LEAST_RELEASE, LEAST_HEIGHT = 4, 4.0, -1.0
 FITS = "x0 double, vx double, y0 double, vy double, z0 double, vz double, n int, rmse double, flipped boolean, min_z double"
 
 
+def fit_many(cameras: np.ndarray, uv: np.ndarray, t: np.ndarray, gravity: float = GRAVITY) -> list[np.ndarray]:
+    """FITS of falling bodies seen equally often: 3x4 ``cameras`` (m, n, 3, 4), places ``uv`` (m, n, 2), times (m, n).
+
+    Position and speed at time 0 by linear least squares; the root mean square of the reprojection errors, whether
+    the cameras' height axis had to be turned up, and the lowest point at a sighting.
+    """
+    m, n = t.shape
+    # Height of each camera's eye, by Cramer's rule; 0 where the camera is degenerate.
+    det, third = np.linalg.det(cameras[..., :3]), np.linalg.det(cameras[..., [0, 1, 3]])
+    eyes = np.divide(-third, det, out=np.zeros_like(det), where=det != 0)
+    flipped = np.median(eyes, axis=1) < 0
+    cameras = np.where(flipped[:, None, None, None], cameras * np.array([1.0, 1.0, -1.0, 1.0]), cameras)
+    # Each sighting says twice that a row of its camera, less u or v times the third, is orthogonal to the place.
+    rows = (cameras[:, :, :2] - uv[..., None] * cameras[:, :, 2:]).reshape(m, 2 * n, 4)
+    when = np.repeat(t, 2, axis=1)
+    design = np.stack([rows[..., 0], rows[..., 0] * when, rows[..., 1], rows[..., 1] * when, rows[..., 2], rows[..., 2] * when], -1)
+    known = rows[..., 3] - 0.5 * gravity * when**2 * rows[..., 2]
+    p = -(np.linalg.pinv(design, rcond=2 * n * np.finfo(float).eps) @ known[..., None])[..., 0]
+    at = np.stack([p[:, :1] + p[:, 1:2] * t, p[:, 2:3] + p[:, 3:4] * t, p[:, 4:5] + p[:, 5:6] * t - 0.5 * gravity * t**2, np.ones_like(t)], -1)
+    seen = np.einsum("mnij,mnj->mni", cameras, at)
+    ok = np.abs(seen[..., 2]) >= 1e-9
+    off = seen[..., :2] / np.where(ok, seen[..., 2], 1.0)[..., None] - uv
+    error = ((off**2).sum(-1) * ok).sum(1)
+    return [*p.T, np.full(m, n), np.sqrt(error / n), flipped, at[..., 2].min(1)]
+
+
 def fit_arc(cameras: np.ndarray, uv: np.ndarray, t: np.ndarray, gravity: float = GRAVITY) -> tuple | None:
-    """Position and speed at time 0 of a falling body seen at ``uv`` by 3x4 ``cameras``, by linear least
-    squares; the root mean square of the reprojection errors, whether the cameras' height axis had to be
-    turned up, and the lowest point at a sighting. None from fewer than three sightings."""
-    n = len(t)
-    if n < 3:
+    """``fit_many`` of one body; None from fewer than three sightings."""
+    if len(t) < 3:
         return None
-    eyes = []
-    for m in cameras:
-        try:
-            eyes.append(-np.linalg.solve(m[:, :3], m[:, 3])[2])
-        except np.linalg.LinAlgError:
-            eyes.append(0.0)
-    flipped = bool(np.median(eyes) < 0)
-    if flipped:
-        cameras = cameras * np.array([1.0, 1.0, -1.0, 1.0])
-    # Each sighting says twice that a row of its camera, less u or v times the third, is orthogonal to the place.
-    rows = np.stack([cameras[:, 0] - uv[:, :1] * cameras[:, 2], cameras[:, 1] - uv[:, 1:] * cameras[:, 2]], 1).reshape(-1, 4)
-    when = np.repeat(t, 2)
-    design = np.stack([rows[:, 0], rows[:, 0] * when, rows[:, 1], rows[:, 1] * when, rows[:, 2], rows[:, 2] * when], 1)
-    known = rows[:, 3] - 0.5 * gravity * when**2 * rows[:, 2]
-    p = np.linalg.lstsq(design, -known, rcond=None)[0]
-    at = np.stack([p[0] + p[1] * t, p[2] + p[3] * t, p[4] + p[5] * t - 0.5 * gravity * t**2, np.ones(n)], 1)
-    seen = np.einsum("nij,nj->ni", cameras, at)
-    ok = np.abs(seen[:, 2]) >= 1e-9
-    error = ((seen[ok, :2] / seen[ok, 2:] - uv[ok]) ** 2).sum()
-    return (*p.tolist(), n, float(np.sqrt(error / n)), flipped, float(at[:, 2].min()))
+    return tuple(c[0].item() for c in fit_many(cameras[None], uv[None], t[None], gravity))
 
 
 def fit_arcs(samples: DataFrame, keys: list[str], gravity: float = GRAVITY) -> DataFrame:
-    """``fit_arc`` of each arc of ``samples`` (keys, t, u, v, camera: 12 numbers, row by row); arcs of fewer
-    than three sightings are left out. An arc lasts about a second, so a group is some dozens of rows."""
-    names = [c.split()[0] for c in FITS.split(", ")]
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        t, u, v = (table.column(c).to_numpy() for c in ("t", "u", "v"))
-        got = fit_arc(np.array(table.column("camera").to_pylist(), float).reshape(-1, 3, 4), np.stack([u, v], 1), t, gravity)
-        rows = [] if got is None else [{k: v.as_py() for k, v in zip(keys, key, strict=True)} | dict(zip(names, got, strict=True))]
-        return pa.Table.from_pylist(rows, schema)
-
-    out = samples.select(*keys).schema
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), FITS])
-    kinds = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "bigint": pa.int64(), "string": pa.string()}
-    schema = pa.schema([*((f.name, kinds[f.dataType.simpleString()]) for f in out), *((n, kinds[k]) for n, k in (c.split() for c in FITS.split(", ")))])
-    return samples.groupBy(*keys).applyInArrow(run, ddl)
+    """``fit_many`` of each arc of ``samples`` (keys, t, u, v, camera: 12 numbers, row by row); arcs of fewer than three
+    sightings are left out, and sightings that lack a number.
+
+    An arc lasts about a second, so it is gathered as a list of some dozens of sightings; lists stream through
+    tasks, and those of one length are solved together.
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    seen = samples.where(finite(F.col("t")) & finite(F.col("u")) & finite(F.col("v")) & (F.size("camera") == 12) & F.forall("camera", finite))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    lists = seen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(number("t"), number("u"), number("v"), F.col("camera").cast("array<double>").alias("camera")))).alias("__seen")).where(F.size("__seen") >= 3)
+    names, kinds = zip(*(c.split() for c in FITS.split(", ")), strict=True)
+    types = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = b.column("__seen")
+            starts, ends = seen.offsets.to_numpy()[:-1], seen.offsets.to_numpy()[1:]
+            t, u, v = (seen.values.field(c).to_numpy() for c in ("t", "u", "v"))
+            cameras = seen.values.field("camera").flatten().to_numpy().reshape(-1, 3, 4)
+            out: list = [np.zeros(b.num_rows, bool if k == "boolean" else float) for k in kinds]
+            for n in np.unique(ends - starts):
+                arcs = np.flatnonzero(ends - starts == n)
+                at = starts[arcs][:, None] + np.arange(n)
+                for place, c in enumerate(fit_many(cameras[at], np.stack([u[at], v[at]], -1), t[at], gravity)):
+                    out[place][arcs] = c
+            cells = [pa.array(c.astype(np.int32) if k == "int" else c, types[k]) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *cells], [*keys, *names])
+
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.select(*keys).schema), FITS])
+    return lists.mapInArrow(run, ddl)
 
 
 def launch_speed(vx: Column, vy: Column, vz: Column) -> Column:

@@ -83,9 +83,16 @@ def earliest_release(windows: DataFrame, releases: DataFrame, keys: list[str], f
     return windows.join(inside.groupBy(*keys, F.col("__hi").alias("hi")).agg(F.min("frame_index").alias("release")), [*keys, "hi"], "left")
 
 
-def rim_targets(windows: DataFrame, rims: DataFrame, keys: list[str]) -> DataFrame:
-    """Median rim (rim_x, rim_y, rim_r) of each window's frames, of all frames of its key where those have fewer than two."""
-    seen = windows.select(*keys, "lo", "hi").join(rims, keys).withColumn("inside", F.col("frame_index").between(F.col("lo"), F.col("hi")))
+def rim_targets(windows: DataFrame, rims: DataFrame, keys: list[str], frames: DataFrame | None = None) -> DataFrame:
+    """Median rim (rim_x, rim_y, rim_r) of each window's frames, of all frames of its key where those have fewer than two.
+
+    With ``frames`` (keys, frame_index) only these count as a window's.
+    """
+    if frames is None:
+        rims = rims.withColumn("__in", F.lit(True))
+    else:
+        rims = rims.join(frames.select(*keys, "frame_index", F.lit(True).alias("__in")), [*keys, "frame_index"], "left")
+    seen = windows.select(*keys, "lo", "hi").join(rims, keys).withColumn("inside", F.col("frame_index").between(F.col("lo"), F.col("hi")) & F.col("__in").isNotNull())
     names = ("rim_x", "rim_y", "rim_r")
     median = lambda c, only: F.median(F.when(F.col("inside") | F.lit(not only), F.col(c)))
     out = seen.groupBy(*keys, "lo", "hi").agg(F.count_if("inside").alias("n"), *(median(c, o).alias(f"{c}_{o}") for c in names for o in (True, False)))

@@ -91,13 +91,13 @@ def tactics_documents(screens: DataFrame, videos: DataFrame) -> DataFrame:
 
 def shot_documents(shots: DataFrame) -> DataFrame:
     """clip and one JSON document in metres for each fitted shot (clip, fps, frames, x0 to vz, points: array of x, y, z,
-    rmse, apex, speed, angle, plausible; all in feet)."""
+    rmse, apex, speed, angle, plausible; all in feet), with ``overlay`` where there is one."""
     metres = lambda *cs: F.array(*(F.col(c) * M_PER_FT for c in cs))
     points = F.transform("points", lambda p: F.transform(p, lambda v: v * M_PER_FT))
     fields = [
         "clip", F.lit("meters").alias("units"), "fps", "frames", metres("x0", "vx", "y0", "vy", "z0", "vz").alias("params_X0_Vx_Y0_Vy_Z0_Vz_m"), points.alias("points_3d_m"), F.col("rmse").alias("reproj_rmse_px"),
         (F.col("apex") * M_PER_FT).alias("apex_height_m"), F.element_at(points, 1).alias("release_xyz_m"), (F.col("speed") * M_PER_FT).alias("launch_speed_mps"), F.col("angle").alias("launch_angle_deg"), "plausible",
-    ]
+    ] + (["overlay"] if "overlay" in shots.columns else [])
     return shots.select("clip", F.to_json(F.struct(*fields)).alias("value"))
 
 

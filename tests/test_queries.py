@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from hardwood.plans.extra import QUERIES, SQL
+from hardwood.plans.registry import QUERIES, SQL
 from tests.conftest import SF
 
 
@@ -24,7 +24,7 @@ def test_query(spark, name):
         assert len(got)
         return
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "lineitem", "events", "documents", "labels", "conversations", "part", "supplier"):
+    for t in ("orders", "lineitem", "events", "documents", "labels", "conversations", "part", "supplier", "embeddings", "pages", "customer", "nation", "region"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
