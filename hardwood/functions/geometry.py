@@ -55,10 +55,12 @@ def distance(x1, y1, x2, y2) -> Column:
 
 
 def edge_distance(b: Box, x: Column, y: Column, margin: float = 15.0) -> Column:
-    """How far a point lies outside a box widened by ``margin``, in box heights."""
+    """How far a point lies outside a box widened by ``margin``, in box heights; null without a point or box."""
     dx = F.greatest(b[0] - margin - x, x - b[2] - margin, F.lit(0.0))
     dy = F.greatest(b[1] - margin - y, y - b[3] - margin, F.lit(0.0))
-    return F.sqrt(dx * dx + dy * dy) / F.greatest(b[3] - b[1], F.lit(1.0))
+    # greatest() passes over nulls, so a missing point must be told apart.
+    there = x.isNotNull() & y.isNotNull() & b[0].isNotNull() & b[1].isNotNull() & b[2].isNotNull() & b[3].isNotNull()
+    return F.when(there, F.sqrt(dx * dx + dy * dy) / F.greatest(b[3] - b[1], F.lit(1.0)))
 
 
 def in_bounds(x: Column, y: Column, margin: float = MARGIN_FT) -> Column:

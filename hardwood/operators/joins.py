@@ -20,11 +20,12 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], a: Box, b:
     return first_by(pairs, keys, F.desc("iou"), *ids)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], clamp: bool = False) -> DataFrame:
     """Each left row with ``values`` of the last right row at or before its ``time``.
 
     One union and one window per key: no pairs are formed. Equal times: the right row counts. Of
-    right rows at one time the last in order of ``values`` counts. A left row before all right rows gets nulls.
+    right rows at one time the last in order of ``values`` counts. A left row before all right rows gets nulls, with
+    ``clamp`` the values of the first right row of its key.
     """
     mark = F.struct(*(F.col(v) for v in values))
     empty = F.lit(None).cast(right.select(mark.alias("v")).schema["v"].dataType)
@@ -33,18 +34,27 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str,
     rights = right.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(time).alias("__t"), F.lit(0).alias("__side"), mark.alias("__v"), none.alias("__row"))
     w = Window.partitionBy(*(f"__{k}" for k in keys)).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     out = lefts.union(rights).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    if clamp:
+        first = right.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min(F.struct(F.col(time).alias("t"), mark.alias("v")))["v"].alias("__first"))
+        out = out.join(first, [f"__{k}" for k in keys], "left").withColumn("__last", F.coalesce("__last", "__first"))
     return out.select("__row.*", *(F.col(f"__last.{v}").alias(v) for v in values))
 
 
 def interval_first(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, order: list[str], bucket: int) -> DataFrame:
     """Each point with the first span (in ``order``) that holds it, inner.
 
-    Spans are laid out over buckets of ``bucket`` units, so the join has an equality and never is a
-    nested loop. Equal points are separate ones.
+    Spans are laid out over buckets of at least ``bucket`` units, so the join has an equality and never is a
+    nested loop. A longer span goes by buckets of doubled length, up to its own, so each takes three rows at most; a
+    point has a row for each length in use. Equal points are separate ones.
     """
     points = points.withColumn("__n", F.monotonically_increasing_id())
-    laid = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    pairs = points.withColumn("__b", F.floor(F.col(at) / bucket)).join(laid, [key, "__b"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__b")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(end) - F.col(start)).cast("double") / bucket, F.lit(1.0))))).cast("int")
+    spans = spans.where(F.col(end) >= F.col(start)).withColumn("__level", level)
+    levels = sorted(r[0] for r in spans.select("__level").distinct().collect())
+    place = lambda c, k: F.floor(c / (bucket * F.pow(F.lit(2.0), k)))
+    laid = spans.withColumn("__b", F.explode(F.sequence(place(F.col(start), F.col("__level")), place(F.col(end), F.col("__level")))))
+    points = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    pairs = points.withColumn("__b", place(F.col(at), F.col("__level"))).join(laid, [key, "__level", "__b"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__b", "__level")
     return first_by(pairs, ["__n"], *order).drop("__n")
 
 

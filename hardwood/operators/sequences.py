@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hardwood.operators.ranges import running_sums
+
 
 def with_runs(df: DataFrame, keys: list[str], at: str, gap: int = 1, name: str = "run_id") -> DataFrame:
     """Number the runs of ``at`` within each key: a new one begins where the step exceeds ``gap``."""
@@ -67,11 +69,11 @@ def average_precision(said: DataFrame, keys: list[str], hit: str, truths: str, *
 
     ``hit`` says whether an answer is right, ``truths`` (the same in all rows of a key) how many
     right ones there are. At each of 101 recalls, 0 to 1, counts the best precision at that recall
-    or beyond, 0 if it is never reached. Keys without truths get null.
+    or beyond, 0 if it is never reached. Keys without truths get null. A key's answers are spread over
+    ranges, so none is held by one task.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    tp = F.sum(F.col(hit).cast("long")).over(w)
-    points = said.select(*keys, F.col(truths).alias("__n"), tp.alias("__tp"), F.count("*").over(w).alias("__k"))
+    sums = running_sums(said, keys, list(order), {"__tp": F.col(hit).cast("long"), "__k": F.lit(1).cast("long")})
+    points = sums.select(*keys, F.col(truths).alias("__n"), "__tp", "__k")
     # Of each recall one row is left, so what follows is 101 rows a key.
     step = F.floor(100 * F.col("__tp") / F.nullif(F.col("__n"), F.lit(0))).cast("int").alias("__step")
     best = points.groupBy(*keys, step).agg(F.max(F.col("__tp") / F.col("__k")).alias("__p"), F.max("__n").alias("__n"))

@@ -13,6 +13,10 @@ from hardwood.operators.state import run_grouped
 
 # --- Releases: the ball leaves a hand and rises -----------------------------------------------
 
+# Pixels from a hand that holds, and from one that let go, and of the rise; steps that confirm it, rows looked back, and
+# rows without another.
+HELD, APART, RISE, CONFIRM, LOOKBACK, COOLDOWN = 70.0, 45.0, 18.0, 3, 10, 25
+
 RELEASES = "video_id string, frame_index long, x double, y double, confidence double"
 
 
@@ -21,7 +25,7 @@ def hand_distance(ball: Column, wrists: Column) -> Column:
     return F.array_min(F.transform(wrists, lambda w: distance(w["x"], w["y"], ball["x"], ball["y"])))
 
 
-def release_candidates(frames: DataFrame, held: float = 70.0, apart: float = 45.0, rise: float = 18.0, confirm: int = 3, lookback: int = 10) -> DataFrame:
+def release_candidates(frames: DataFrame, held: float = HELD, apart: float = APART, rise: float = RISE, confirm: int = CONFIRM, lookback: int = LOOKBACK) -> DataFrame:
     """Rows of ``frames`` (video_id, frame_index, wrists, ball) at which a release shows.
 
     In the last ``confirm`` steps, none without ball or wrist, the distance to the nearest wrist
@@ -42,7 +46,7 @@ def release_candidates(frames: DataFrame, held: float = 70.0, apart: float = 45.
     return shown.select("video_id", "frame_index", "x", "y", score.alias("confidence"), "nth")
 
 
-def releases(frames: DataFrame, cooldown: int = 25, **how) -> DataFrame:
+def releases(frames: DataFrame, cooldown: int = COOLDOWN, **how) -> DataFrame:
     """The candidates that stand: after one, none for ``cooldown`` rows. Only candidates reach Python."""
 
     def step(s: dict, row: dict) -> list[dict]:
@@ -54,6 +58,27 @@ def releases(frames: DataFrame, cooldown: int = 25, **how) -> DataFrame:
     return run_grouped(release_candidates(frames, **how), ["video_id"], lambda: {"free": 0}, step, RELEASES, ["frame_index"])
 
 
+def release_start() -> dict:
+    return {"nth": 0, "free": 0, "last": []}
+
+
+def release_step(s: dict, row: dict, held: float = HELD, apart: float = APART, rise: float = RISE, confirm: int = CONFIRM, lookback: int = LOOKBACK, cooldown: int = COOLDOWN) -> list[dict]:
+    """One frame (wrists, ball) of ``releases``, for streams: the last ``lookback`` distances and heights are all it needs."""
+    ball, wrists = row["ball"], row["wrists"] if row["wrists"] is not None else []
+    s["nth"] += 1
+    d = min((math.hypot(w["x"] - ball["x"], w["y"] - ball["y"]) for w in wrists), default=None) if ball is not None else None
+    s["last"] = [*s["last"], (d, None if ball is None else ball["y"])][-max(lookback, confirm + 1) :]
+    steps = s["last"][-confirm - 1 :]
+    if len(steps) <= confirm or any(x is None for x, _ in steps) or any(b[0] <= a[0] for a, b in zip(steps, steps[1:])):
+        return []
+    up = steps[0][1] - ball["y"]
+    nearest = min(x for x, _ in s["last"][-lookback:] if x is not None)
+    if d < apart or up < rise or nearest > held or s["nth"] < s["free"]:
+        return []
+    s["free"] = s["nth"] + cooldown
+    return [{"frame_index": row["frame_index"], "x": float(ball["x"]), "y": float(ball["y"]), "confidence": min(1.0, 0.5 * d / max(apart, 1.0) + 0.25 * up / max(rise, 1.0))}]
+
+
 # --- Keypoints: exponential smoothing of each, jumps refused ----------------------------------
 
 KEYPOINTS = "video_id string, kp_idx int, frame_index long, x double, y double, confidence double, valid boolean"

@@ -215,16 +215,26 @@ def per_frame(df: DataFrame, keys: list[str], order: list, choose: Callable[[pd.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
+            if not len(pdf):
+                continue
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1)
-            rest = pdf[last].reset_index(drop=True)
-            yield from kept(pdf[~last])
+            cut = begins(pdf)[-1]
+            rest = pdf.iloc[cut:].reset_index(drop=True)
+            yield from kept(pdf.iloc[:cut])
         if rest is not None:
             yield from kept(rest)
 
+    def begins(pdf: pd.DataFrame) -> np.ndarray:
+        """Where a frame begins; rows without a key are frames of their own kind."""
+        own, before = pdf[keys], pdf[keys].shift()
+        same = ((own == before) | (own.isna() & before.isna())).all(axis=1).to_numpy(bool).copy()
+        same[:1] = False
+        return np.flatnonzero(~same)
+
     def kept(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        places = [at[i] for at in pdf.reset_index(drop=True).groupby(keys, sort=False).indices.values() for i in choose(pdf.iloc[at])]
-        yield pdf.iloc[sorted(places)]
+        if len(pdf):
+            cuts = [*begins(pdf), len(pdf)]
+            yield pdf.iloc[[a + i for a, b in zip(cuts, cuts[1:]) for i in sorted(choose(pdf.iloc[a:b].reset_index(drop=True)))]]
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
 

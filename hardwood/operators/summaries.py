@@ -38,12 +38,6 @@ def rmse(error: Column) -> Column:
     return F.sqrt(F.coalesce(F.sum(finite), F.lit(0.0)) / F.count("*"))
 
 
-def upper_median(c: Column) -> Column:
-    """Of an even number of values the greater of the middle two."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
-
-
 def accuracy(df: DataFrame, keys: list[str], truth: str, said: str) -> DataFrame:
     """n, correct, nulls and their shares of each key; a null answer equals an empty truth."""
     right = F.coalesce(F.col(said).cast("string"), F.lit("")) == F.col(truth).cast("string")

@@ -21,6 +21,7 @@ SHIFT, LONG_SHIFT, SHIFT_WINDOW, LEAST_COMMON = 20.0, 25.0, 6, 3
 SAME_BOX = 0.4
 
 CORNERS = ("x1", "y1", "x2", "y2")
+SEGMENTS = "video_id string, frame_index long, moved boolean, segment int"
 FILTERED = "video_id string, frame_index long, x1 double, y1 double, x2 double, y2 double, confidence double, vx double, vy double, predicted boolean"
 
 
@@ -155,4 +156,4 @@ def segment_step(s: dict, row: dict) -> list[dict]:
 
 def camera_segments(frames: DataFrame) -> DataFrame:
     """video_id, frame_index, moved and the number of the segment, from frames with ``points`` (kp_idx, x, y, valid)."""
-    return run_per_video(frames, segment_start, segment_step, "video_id string, frame_index long, moved boolean, segment int", ["frame_index"])
+    return run_per_video(frames, segment_start, segment_step, SEGMENTS, ["frame_index"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hardwood.functions import labels as L
 from hardwood.operators import arcs as A
 from hardwood.operators import joins as J
+from hardwood.operators import ranges as R
 from hardwood.operators import sequences as Q
 from hardwood.operators import state as K
 from hardwood.operators import summaries as S
@@ -85,7 +86,9 @@ def point_in_box(spark, sf_dir):
 
 @query("select user_id, round(sqrt(sum(value*value)/count(*)),6) e, list_sort(list(value))[count(*)//2+1] median from events group by user_id")
 def error_and_upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(S.rmse(F.col("value")), 6).alias("e"), S.upper_median(F.col("value")).alias("median"))
+    e = table(spark, sf_dir, "events").select("user_id", "value")
+    errors = e.groupBy("user_id").agg(F.round(S.rmse(F.col("value")), 6).alias("e"))
+    return errors.join(R.upper_medians(e, ["user_id"], "value").drop("n"), "user_id")
 
 
 @query("select lang, count(*) n, count(*) filter (where coalesce(cast(s as varchar),'')=cast(quality as varchar)) correct, count(*) filter (where s is null) nulls, 100.0*count(*) filter (where coalesce(cast(s as varchar),'')=cast(quality as varchar))/count(*) accuracy, 100.0*count(*) filter (where s is null)/count(*) null_share from (select lang, quality, case when n_chars>2000 then null when n_chars<400 then 0 else 1 end s from labels join documents using (doc_id)) group by lang")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from hardwood.functions import geometry as G
 from hardwood.operators import joins as J
+from hardwood.operators import ranges as R
 from hardwood.operators import sequences as Q
 from hardwood.operators import smoothing as M
 from hardwood.operators import state as K
@@ -175,8 +176,10 @@ def shot_totals(spark, sf_dir):
 @query("select l_returnflag, count(*) n, round(quantile_cont(l_extendedprice,0.25),4) p25, round(quantile_cont(l_extendedprice,0.5),4) median, round(quantile_cont(l_extendedprice,0.75),4) p75, round(100.0*count(*) filter (where l_extendedprice<10000)/count(*),6) below from lineitem group by l_returnflag")
 def residual_percentiles(spark, sf_dir):
     x = F.col("l_extendedprice")
-    p = lambda q: F.round(F.percentile(x, F.lit(q)), 4)
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75"), F.round(100.0 * F.count_if(x < 10000) / F.count("*"), 6).alias("below"))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", x)
+    below = rows.groupBy("l_returnflag").agg(F.round(100.0 * F.count_if(x < 10000) / F.count("*"), 6).alias("below"))
+    p = R.quantiles(rows, ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return p.join(below, "l_returnflag").select("l_returnflag", "n", *(F.round(c, 4).alias(c) for c in ("p25", "median", "p75")), "below")
 
 
 @query("with x as (select quality=0 t, d.n_chars<400 s from labels l join documents d using (doc_id)), c as (select count(*) filter (where t and s) tp, count(*) filter (where not t and s) fp, count(*) filter (where t and not s) fn from x) select tp,fp,fn,coalesce(cast(tp as double)/nullif(tp+fp,0),0) \"precision\", coalesce(cast(tp as double)/nullif(tp+fn,0),0) recall, coalesce(cast(2*tp as double)/nullif(2*tp+fp+fn,0),0) f1 from c")

@@ -11,14 +11,18 @@ from hardwood.functions.geometry import M_PER_FT
 STEP_LINE, MEAN_LINE = r"epoch (\d+) step (\d+) loss ([\d.]+)", r"\[EPOCH (\d+)\] loss medio ([\d.]+)"
 # Endings of a video's metadata document, the first that exists counts.
 METADATA_NAMES = ("_metadata.json", "_pipeline_metadata.json")
+# Fixed value: the question of an annotation that names none.
+QUESTION = "Read the number."
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """image, prefix, suffix of each line of JSON; blank lines are skipped."""
-    return spark.read.schema("image string, prefix string, suffix string").json(path).where("image is not null or prefix is not null or suffix is not null")
+    """image, prefix, suffix of each line of JSON; blank lines are skipped, a malformed one is an error. Without a prefix it is QUESTION."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = F.from_json("value", "image string, prefix string, suffix string", {"mode": "FAILFAST"})
+    return lines.select(read.alias("a")).select("a.image", F.coalesce("a.prefix", F.lit(QUESTION)).alias("prefix"), "a.suffix")
 
 
-def numeric_answers(annotations: DataFrame, prefix: str) -> DataFrame:
+def numeric_answers(annotations: DataFrame, prefix: str = QUESTION) -> DataFrame:
     """Lines of one question whose answer is digits only."""
     return annotations.where((F.col("prefix") == prefix) & F.col("suffix").rlike("^[0-9]+$"))
 
