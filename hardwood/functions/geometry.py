@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,6 +107,54 @@ def cm_to_feet(c: Column) -> Column:
     return c / CM_PER_FT
 
 
+# Least side of a usable crop in pixels, least confidence of a wrist, error of an inlier in pixels.
+LEAST_CROP, WRIST_SURE, INLIER_PX = 16, 0.30, 15.0
+# The court grid's columns and rows, the court's length and width, the first gap of its rows and how each grows (cm).
+GRID, GRID_CM, FIRST_GAP, GAP_GROWTH = (13, 7), (2800.0, 1500.0), 175.0, 30.0
+
+
+def large_enough(b: Box, least: int = LEAST_CROP) -> Column:
+    return (b[2] - b[0] >= least) & (b[3] - b[1] >= least)
+
+
+def sure_wrists(wrists: Column, least: float = WRIST_SURE) -> Column:
+    """Of an array of points with confidences those that are sure enough."""
+    return F.filter(wrists, lambda w: w["confidence"] >= least)
+
+
+def letterboxed(x: Column, y: Column, video: tuple[Column, Column], canvas: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Where a point of a video falls on a canvas that shows all of it, as large as possible and centred."""
+    scale = F.least(canvas[0] / video[0], canvas[1] / video[1])
+    return (canvas[0] - video[0] * scale) / 2 + x * scale, (canvas[1] - video[1] * scale) / 2 + y * scale
+
+
+def circle_points(x: Column, y: Column, radius: Column, n: int = 61) -> Column:
+    """``n`` points along a circle, the last again the first."""
+    turn = lambda k: 2 * math.pi * k / (n - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((x + radius * F.cos(turn(k))).alias("x"), (y + radius * F.sin(turn(k))).alias("y")))
+
+
+def grid_point(i: Column) -> tuple[Column, Column]:
+    """Place in feet of point ``i`` (0 to 90) of the court grid: rows lie farther apart from one to the next."""
+    row = F.floor(i / GRID[0])
+    down = row * FIRST_GAP + row * (row - 1) / 2 * GAP_GROWTH
+    return cm_to_feet((i % GRID[0]) * GRID_CM[0] / (GRID[0] - 1)), cm_to_feet(GRID_CM[1] - down)
+
+
+def project_back(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Place in the image of a place on the court by the inverse of ``h`` (9 numbers, image to court); null where there is none."""
+    rows = [(4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3)]
+    m = [h[a] * h[b] - h[c] * h[d] for a, b, c, d in rows]
+    det = h[0] * m[0] + h[1] * m[3] + h[2] * m[6]
+    w = F.when(det != 0, F.nullif(m[6] * x + m[7] * y + m[8], F.lit(0.0)))
+    return (m[0] * x + m[1] * y + m[2]) / w, (m[3] * x + m[4] * y + m[5]) / w
+
+
+def is_inlier(u: Column, v: Column, seen_u: Column, seen_v: Column, most: float = INLIER_PX) -> Column:
+    """Whether a seen point lies by where it should; null where nothing was seen, which is written as (0, 0)."""
+    return F.when((seen_u != 0) | (seen_v != 0), distance(u, v, seen_u, seen_v) < most)
+
+
 def hex_channel(c: Column, i: int) -> Column:
     """Channel 0, 1 or 2 of a colour like #a0b1c2, null if it is not one."""
     digits = F.ltrim(c, F.lit("#"))

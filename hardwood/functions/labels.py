@@ -70,5 +70,24 @@ def escaped(c: Column) -> Column:
     return c
 
 
+def clamped(c: Column, least: float, most: float) -> Column:
+    return F.least(F.greatest(c, F.lit(least)), F.lit(most))
+
+
+def one_of(c: Column, allowed: list[str], default: str) -> Column:
+    return F.when(c.isin(allowed), c).otherwise(F.lit(default))
+
+
+def tokens_of(c: Column, available: Column, default: str) -> Column:
+    """The comma-separated tokens, each once and in order, that are available (all, if that is empty); ``default`` alone without any."""
+    tokens = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != ""))
+    kept = F.filter(tokens, lambda t: (F.size(available) == 0) | F.array_contains(available, t))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(default)))
+
+
+def bottleneck(ms: Column, least: float = 400.0) -> Column:
+    return F.when(ms >= least, "bottleneck").otherwise("fine")
+
+
 def recency(age_days: Column) -> Column:
     return F.when(age_days < 1, "today").when(age_days < 7, "7d").when(age_days < 30, "30d").otherwise("older")

@@ -205,6 +205,22 @@ def shots(df: DataFrame) -> DataFrame:
     return run_per_video(df, shot_start, shot_step, SHOTS, ["frame_index"])
 
 
+# Fixed value: rows for which a shot's result is shown, its own first.
+SHOWN = 25
+
+
+def shown_results(frames: DataFrame, results: DataFrame, rows: int = SHOWN) -> DataFrame:
+    """video_id, frame_index, made and side of each frame of ``frames``: of the last shot (``results``: video_id, end_frame, made, side) that
+    ended at most ``rows`` - 1 frames of the list before, else null. Frames count by their place in the video, so gaps don't."""
+    nth = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_index"))
+    placed = frames.select("video_id", "frame_index").withColumn("__n", nth)
+    ends = results.select("video_id", F.col("end_frame").alias("frame_index"), "made", "side").join(placed, ["video_id", "frame_index"])
+    marks = placed.join(ends.select("video_id", "frame_index", F.struct(F.col("__n").alias("n"), "made", "side").alias("__mark")), ["video_id", "frame_index"], "left")
+    last = F.last("__mark", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0))
+    fresh = F.col("__n") - last["n"] < rows
+    return marks.select("video_id", "frame_index", F.when(fresh, last["made"]).alias("made"), F.when(fresh, last["side"]).alias("side"))
+
+
 # --- Greedy operators within one frame --------------------------------------------------------
 
 

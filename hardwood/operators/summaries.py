@@ -38,6 +38,41 @@ def rmse(error: Column) -> Column:
     return F.sqrt(F.coalesce(F.sum(finite), F.lit(0.0)) / F.count("*"))
 
 
+def first_of_each(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+
+
+def stage_times(laps: DataFrame, keys: list[str], frames: str = "frames") -> DataFrame:
+    """keys, stage, seconds, share in percent, ms a frame and place by first appearance, from laps (keys, stage, at, seconds) and how many
+    frames each run (keys) had; runs without time or frames are left out."""
+    whole = Window.partitionBy(*keys)
+    per = laps.groupBy(*keys, "stage").agg(F.sum("seconds").alias("seconds"), F.min("at").alias("__first"), F.max(frames).alias("__frames"))
+    per = per.withColumns({"__all": F.sum("seconds").over(whole), "place": F.row_number().over(whole.orderBy("__first", "stage"))})
+    per = per.where((F.col("__all") > 0) & (F.col("__frames") > 0))
+    return per.select(*keys, "stage", "seconds", (100.0 * F.col("seconds") / F.col("__all")).alias("share"), (1000.0 * F.col("seconds") / F.col("__frames")).alias("ms_a_frame"), "place")
+
+
+def speed_up(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, speed_up and efficiency of runs (keys, workers, wall, memory) with the most workers against those with one, and the
+    peak of memory; null where either is missing."""
+    one = F.min(F.when(F.col("workers") == 1, F.col("wall")))
+    many = F.max_by(F.when(F.col("workers") > 1, F.col("wall")), F.when(F.col("workers") > 1, F.struct("workers", -F.col("wall"))))
+    out = runs.groupBy(*keys).agg((one / many).alias("__up"), F.max("workers").alias("__n"), F.max("memory").alias("peak"))
+    return out.select(*keys, F.round("__up", 2).alias("speed_up"), F.round(F.col("__up") / F.col("__n"), 3).alias("efficiency"), "peak")
+
+
+def totals(df: DataFrame, scope: str, done: str, day: Column, end: Column) -> DataFrame:
+    """One row: scope, done, percent (whole), what is left and the days left until ``end``, none below 0."""
+    out = df.agg(F.sum(scope).alias("scope"), F.sum(done).alias("done"), F.greatest(F.lit(0), F.datediff(end, day)).alias("days_left"))
+    return out.select("scope", "done", F.rint(100.0 * F.col("done") / F.nullif(F.col("scope"), F.lit(0))).alias("percent"), (F.col("scope") - F.col("done")).alias("left"), "days_left")
+
+
+def with_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str], step: str) -> DataFrame:
+    """``rows`` with ``at``: the step counted from the start (``offsets``: keys, start_at) of its key."""
+    return rows.join(offsets, keys).withColumn("at", F.col("start_at") + F.col(step)).drop("start_at")
+
+
 def accuracy(df: DataFrame, keys: list[str], truth: str, said: str) -> DataFrame:
     """n, correct, nulls and their shares of each key; a null answer equals an empty truth."""
     right = F.coalesce(F.col(said).cast("string"), F.lit("")) == F.col(truth).cast("string")

@@ -60,15 +60,15 @@ def mask_feet(spark, sf_dir):
     return N.mask_feet(e.select(F.floor(F.col("event_id") / 50).alias("mask"), (F.col("user_id") * 7 % 41).alias("x"), (F.col("event_id") % 29).alias("y")), ["mask"]).withColumns({c: F.col(c).cast("long") for c in ("foot_x", "foot_y")})
 
 
-@query(f"""{WITH}, f as (select frame_index//200 clip, frame_index, case when frame_index%11<9 then x_ft end x, case when frame_index%11<9 then y_ft end y, frame_index%4<>0 raw from p where track_id=3),
- s as (select *, sqrt((x-lag(x) over w)*(x-lag(x) over w)+(y-lag(y) over w)*(y-lag(y) over w)) step from f window w as (partition by clip order by frame_index)),
- j as (select clip, abs(step-lag(step) over (partition by clip order by frame_index)) jerk from s where step is not null)
- select clip, count(*) frames, count(x) output_frames, count(*) filter (where x is not null and not raw) holdover_frames, round(100.0e0*count(x)/count(*),1) coverage, round(coalesce(avg(step),0),6) mean_step, round(coalesce(max(step),0),6) max_step,
- round(coalesce((select avg(jerk) from j where j.clip=s.clip),0),6) mean_jerk from s group by clip""")
+@query(f"""{WITH}, f as (select track_id, frame_index//200 clip, frame_index, case when frame_index%11<9 then x_ft end x, case when frame_index%11<9 then y_ft end y, frame_index%4<>0 raw from p),
+ s as (select *, sqrt((x-lag(x) over w)*(x-lag(x) over w)+(y-lag(y) over w)*(y-lag(y) over w)) step from f window w as (partition by track_id, clip order by frame_index)),
+ j as (select track_id, clip, abs(step-lag(step) over (partition by track_id, clip order by frame_index)) jerk from s where step is not null)
+ select track_id, clip, count(*) frames, count(x) output_frames, count(*) filter (where x is not null and not raw) holdover_frames, round(100.0e0*count(x)/count(*),1) coverage, round(coalesce(avg(step),0),6) mean_step, round(coalesce(max(step),0),6) max_step,
+ round(coalesce((select avg(jerk) from j where j.clip=s.clip and j.track_id=s.track_id),0),6) mean_jerk from s group by track_id, clip""")
 def step_quality(spark, sf_dir):
     f = F.col("frame_index")
-    p = players(spark, sf_dir).where("track_id = 3").select(F.floor(f / 200).alias("clip"), "frame_index", F.when(f % 11 < 9, F.col("x_ft")).alias("x"), F.when(f % 11 < 9, F.col("y_ft")).alias("y"), (f % 4 != 0).alias("raw"))
-    return N.step_quality(p, ["clip"]).withColumns({c: F.round(c, 6) for c in ("mean_step", "max_step", "mean_jerk")})
+    p = players(spark, sf_dir).select("track_id", F.floor(f / 200).alias("clip"), "frame_index", F.when(f % 11 < 9, F.col("x_ft")).alias("x"), F.when(f % 11 < 9, F.col("y_ft")).alias("y"), (f % 4 != 0).alias("raw"))
+    return N.step_quality(p, ["track_id", "clip"]).withColumns({c: F.round(c, 6) for c in ("mean_step", "max_step", "mean_jerk")})
 
 
 @query("""with s as (select distinct case when l_returnflag='N' then 'white' else 'dark' end side, l_suppkey number from lineitem where l_suppkey%3<>0 or l_returnflag<>'N'), r as (select distinct case when s_nationkey%2=0 then 'A' else 'B' end team, s_suppkey number from supplier),

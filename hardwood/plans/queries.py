@@ -111,13 +111,6 @@ def nearest_opponent(spark, sf_dir):
     return J.first_by(a.join(b, "frame_index").where("at != bt"), ["frame_index", "a"], dx * dx + dy * dy, "b").select("frame_index", "a", "b")
 
 
-@query("select c.c_custkey, n.n_name, r.r_name from customer c left join nation n on c.c_nationkey=n.n_nationkey and c.c_custkey%2=0 left join region r on n.n_regionkey=r.r_regionkey")
-def roster_lookup(spark, sf_dir):
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    c = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("n_nationkey"))
-    return c.join(n, "n_nationkey", "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
-
-
 @query("select c_custkey, n_name, r_name from customer left join nation on c_nationkey=n_nationkey left join region on n_regionkey=r_regionkey")
 def roster_lookup_all(spark, sf_dir):
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
@@ -268,17 +261,6 @@ def overlap_suppression(spark, sf_dir):
     return K.suppress_overlaps(p.select("video_id", "frame_index", "det_idx", "confidence", "x1", "y1", "x2", "y2"), 0.35).select("frame_index", "det_idx")
 
 
-def _hand_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ball that rises from one player's hand every 12 frames, in videos of 500 frames."""
-    p = players(spark, sf_dir).where("track_id = 1").withColumn("k", F.col("frame_index") % 12)
-    xy = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    wrist = xy(F.col("x_ft") * 10, F.col("y_ft") * 10)
-    up = F.greatest(F.col("k") - 6, F.lit(0)) * 30
-    ball = F.when(F.col("k") != 11, xy(wrist["x"] + 10, wrist["y"] - up))
-    video = F.concat("video_id", F.floor(F.col("frame_index") / 500).cast("string"))
-    return p.select(video.alias("video_id"), "frame_index", F.array(wrist).alias("wrists"), ball.alias("ball"))
-
-
 def _all_hand_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All players' wrists of each frame, in videos of 500 frames, and a ball: every 12 frames it
     leaves another player's hand, by turns upward and into the next player's hand."""
@@ -295,19 +277,6 @@ def _all_hand_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select(video.alias("video_id"), "frame_index", "wrists", ball.alias("ball"))
 
 
-HANDS_SQL = f"""{WITH}, f as (select 'v'||cast(frame_index//500 as varchar) video_id, frame_index, frame_index%12 k, x_ft*10 wx, y_ft*10 wy from p where track_id=1),
- b as (select *, case when k<>11 then wx+10 end bx, case when k<>11 then wy-greatest(k-6,0)*30 end yy from f),
- d as (select *, sqrt((wx-bx)*(wx-bx)+(wy-yy)*(wy-yy)) d from b),
- m as (select *, d>lag(d,1) over w and lag(d,1) over w>lag(d,2) over w and lag(d,2) over w>lag(d,3) over w grew, lag(yy,3) over w-yy up,
-  min(d) over (partition by video_id order by frame_index rows between 9 preceding and current row) near, row_number() over w nth from d window w as (partition by video_id order by frame_index))
- select video_id, frame_index, cast(nth as integer) nth, round(least(1.0,0.5*d/45+0.25*up/18),6) confidence from m where grew and d>=45 and up>=18 and near<=70"""
-
-
-@query(HANDS_SQL)
-def release_candidates(spark, sf_dir):
-    return M.release_candidates(_hand_frames(spark, sf_dir)).select("video_id", "frame_index", "nth", F.round("confidence", 6).alias("confidence"))
-
-
 ALL_HANDS_SQL = f"""{WITH}, f as (select *, x_ft*10 wx, y_ft*10 wy, frame_index//12 turn, greatest(frame_index%12-6,0) s from p),
  h as (select frame_index, any_value(turn) turn, any_value(s) s, max(wx) filter (where track_id=turn%10) ax, max(wy) filter (where track_id=turn%10) ay,
   max(wx) filter (where track_id=(turn+1)%10) nx, max(wy) filter (where track_id=(turn+1)%10) ny from f where frame_index%12<>11 group by frame_index),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed value: a frame's fields.
 FRAME = {
@@ -42,10 +43,45 @@ def players_ft(frames: DataFrame) -> DataFrame:
     return frames.select("video_id", "frame_index", F.posexplode("players").alias("pos", "p")).select("video_id", "frame_index", "pos", "p.*").dropna(subset=["x_ft", "y_ft"])
 
 
-def write_frames(frames: DataFrame, path: str) -> None:
-    """One JSON document per video, frames in order; the native form is the table itself."""
-    doc = frames.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*FRAME))).alias("frames"))
-    doc.select(F.to_json(F.struct("frames")).alias("value")).write.text(path)
+def write_frames(frames: DataFrame, path: str, teams: DataFrame | None = None) -> None:
+    """One JSON document per video (of ``frames``, or of ``teams``: video_id, team_names), in a folder of its own; frames in order.
+
+    A document is an object of a line each: the beginning with the team names, a frame, the end. Its lines are sorted by
+    Spark and stream into the file, so a video of any length takes no more memory than a frame. Of frames with one
+    index all are written. The native form is the table itself.
+    """
+    fields = [c for c in FRAME if c in frames.columns]
+    lines = frames.select("video_id", F.lit(1).alias("__part"), F.col("frame_index").alias("__at"), F.to_json(F.struct(*fields)).alias("value"))
+    names = frames.select("video_id").distinct().withColumn("team_names", F.lit(None).cast("array<string>"))
+    if teams is not None:
+        names = names.select("video_id").union(teams.select("video_id")).distinct().join(teams.select("video_id", "team_names"), "video_id", "left")
+    begin = F.concat(F.lit('{"team_names":'), F.coalesce(F.to_json("team_names"), F.lit("null")), F.lit(',"frames":['))
+    edge = lambda part, value: names.select("video_id", F.lit(part).alias("__part"), F.lit(None).cast("int").alias("__at"), value.alias("value"))
+    rows = lines.unionByName(edge(0, begin)).unionByName(edge(2, F.lit("]}")))
+    first = F.row_number().over(Window.partitionBy("video_id").orderBy("__part", "__at", "value")) == 2
+    rows = rows.withColumn("value", F.when((F.col("__part") == 1) & ~first, F.concat(F.lit(","), "value")).otherwise(F.col("value")))
+    ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "__part", "__at", F.ltrim("value", F.lit(",")))
+    ordered.select("video_id", "value").write.partitionBy("video_id").text(path)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).text(path).withColumn("video_id", F.col("video_id").cast("string"))
+
+
+def read_frame_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The frames of what ``write_frames`` wrote, read by ranges of bytes: a document of any size is many tasks' work.
+
+    A line that is neither a beginning, a frame nor an end is an error. Of frames with one index all are kept.
+    """
+    lines = _lines(spark, path).where(~F.startswith("value", F.lit('{"team_names":')) & (F.col("value") != "]}"))
+    ddl = ",".join(f"{k} {v}" for k, v in FRAME.items())
+    return lines.select("video_id", F.from_json(F.ltrim("value", F.lit(",")), ddl, {"mode": "FAILFAST"}).alias("f")).select("video_id", "f.*")
+
+
+def read_team_names(spark: SparkSession, path: str) -> DataFrame:
+    """video_id and team_names of the same documents."""
+    begin = _lines(spark, path).where(F.startswith("value", F.lit('{"team_names":')))
+    return begin.select("video_id", F.from_json(F.regexp_extract("value", r'^\{"team_names":(.*),"frames":\[$', 1), "array<string>").alias("team_names"))
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
