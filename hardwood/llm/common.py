@@ -73,13 +73,16 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> D
 
     The HOT_KEYS keys with the most rows are met by a broadcast of their rows of ``one``, as many at
     most, so that no task gets all rows of a frequent key: what is left of any key is less than a
-    1/HOT_KEYS share of all rows, or HOT_ROWS.
+    1/HOT_KEYS share of all rows, or HOT_ROWS. A frequent key that ``one`` lacks is told as well, and null
+    keys, which meet nothing, aren't shuffled.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("__c")).where(F.col("__c") >= HOT_ROWS).orderBy(F.desc("__c"), key).limit(HOT_KEYS).select(key)
-    few = one.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True))
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__c")).where(F.col("__c") >= HOT_ROWS).orderBy(F.desc("__c"), key).limit(HOT_KEYS).select(key)
+    there = one.join(F.broadcast(hot), key, "left_semi").withColumn("__there", F.lit(True))
+    few = hot.join(there, key, "left").withColumn("__hot", F.lit(True))
     met = rows.join(F.broadcast(few), key, "left")
-    apart = met.where("__hot is not null").drop("__hot")
-    rest = met.where("__hot is null").select(*rows.columns).join(one, key, how)
+    settled = F.col("__there").isNotNull() if how == "inner" else F.col("__hot").isNotNull() | F.col(key).isNull()
+    apart = met.where(settled).drop("__hot", "__there")
+    rest = met.where(F.col("__hot").isNull() & F.col(key).isNotNull()).select(*rows.columns).join(one, key, how)
     return apart.unionByName(rest)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hardwood.llm.common import in_small_batches, table, written
+from hardwood.llm.common import in_small_batches, join_hot, table, written
 
 #: Word classes; class CLASSES is the end token's own.
 CLASSES, STATES = 4096, 6
@@ -275,7 +275,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     gives no rows; if all rows are held out, counts are 0 and all classes alike.
 
     Counts are summed before the shuffle. Common words' counts (bounded) go to every task, those of
-    the rest are joined by word.
+    the rest are joined by word, frequent ones (in texts held out, say) apart.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out_column().alias("held_out"))
@@ -346,7 +346,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         score, "row_id long, doc_id long, held_out boolean, n_tokens long, known long, logs double, sequence double"
     )
     pairs = encoded.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.n")
-    extra = pairs.join(vocab.select("word", "c"), "word").groupBy("row_id").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    extra = join_hot(pairs, vocab.select("word", "c"), "word").groupBy("row_id").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     out = scored.join(extra, "row_id", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     seen_end = int(n_train > 0)

@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hardwood.llm.common import Scratch, in_small_batches, join_hot, table, written
 
@@ -773,7 +772,8 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     Rows whose texts have no words stay, but of rows that repeat both doc_id and text one. Which of
     those stays is settled by a hash of the other columns.
 
-    The rows are told by a hash of 128 bits of doc_id and text; texts are shuffled once, by that hash.
+    The rows are told by a hash of 128 bits of doc_id and text; texts are shuffled once, by that hash, after
+    each task has cut rows that repeat both down to one. Columns of any name stay as they are.
     """
     doc_id = F.col("doc_id").cast("long")
     half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), doc_id, "text")), 16, "0")
@@ -786,9 +786,9 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     stay = _named(per_set, labels).groupBy("label").agg(F.min("first")["row"].alias("__row")).select("__row")
     stay = written(stay.union(own.where("n = 0").select("row").distinct()), "stay")
     others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
-    again = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*others) if others else F.lit(0)))
-    kept = docs.withColumn("__row", key).join(stay, "__row", "left_semi")
-    return kept.withColumn("__again", again).where("__again = 1").select(*docs.columns)
+    order = F.xxhash64(*others) if others else F.lit(0)
+    kept = docs.select(key.alias("__row"), order.alias("__order"), F.struct(*docs.columns).alias("__own")).join(stay, "__row", "left_semi")
+    return kept.groupBy("__row").agg(F.min_by("__own", "__order").alias("__own")).select("__own.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
