@@ -26,10 +26,19 @@ def _kept(docs: DataFrame, judge, flag: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier doesn't reject, as they are.
+
+    A null or empty text is judged like any other. Rows that repeat are judged alike and all stay or go. An empty
+    table gives no rows.
+    """
     return _kept(docs, classify_quality, "quality_kept")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the rules and the log-likelihood ratio keep, as they are.
+
+    A null or empty text has too few words and goes. Rows that repeat stay or go together. An empty table gives no rows.
+    """
     return _kept(docs, apply_quality_rules, "kept")
 
 
@@ -43,11 +52,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mixture takes it: none to three times.
+
+    Null sources are one source. A null text has no words and is taken like its source's others. Rows without a doc_id
+    draw by their text, and rows that repeat draw alike. An empty table gives no rows.
+    """
     return emit_mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded text."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded text, a row for each of ``docs``.
+
+    A null text is empty: its ids are those of begin and end. A null doc_id stays null, repeated rows are encoded one by
+    one. An empty table gives no rows.
+    """
     out = encode_documents(docs, default_model())
     return out.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
