@@ -44,11 +44,15 @@ def run_per_video(df: DataFrame, start: Callable[[], dict], step: Callable[[dict
 BALL = "video_id string, frame_index long, x double, y double, vx double, vy double, predicted boolean"
 
 
+# Weight of a new place, reach of the gate and greatest jump in pixels, least confidence, frames of holdover.
+ALPHA, GATE, JUMP, SURE, HOLDOVER = 0.55, 120.0, 180.0, 0.25, 18
+
+
 def ball_start() -> dict:
-    return {"x": None, "y": None, "vx": 0.0, "vy": 0.0, "missing": 0}
+    return {"x": None, "y": None, "vx": 0.0, "vy": 0.0, "missing": 0, "picked": None}
 
 
-def ball_step(s: dict, row: dict, alpha: float = 0.55, gate: float = 120.0, jump: float = 180.0, least: float = 0.25, holdover: int = 18) -> list[dict]:
+def ball_step(s: dict, row: dict, alpha: float = ALPHA, gate: float = GATE, jump: float = JUMP, least: float = SURE, holdover: int = HOLDOVER) -> list[dict]:
     """``candidates``: (x, y, confidence) of the frame. Picks the surest within the gate, else the surest."""
     found = [c for c in (row["candidates"] if row["candidates"] is not None else []) if c["confidence"] is None or c["confidence"] >= least]
     sure = lambda c: 1.0 if c["confidence"] is None else c["confidence"]
@@ -59,7 +63,7 @@ def ball_step(s: dict, row: dict, alpha: float = 0.55, gate: float = 120.0, jump
         if s["x"] is not None:
             x, y = alpha * x + (1 - alpha) * s["x"], alpha * y + (1 - alpha) * s["y"]
             s["vx"], s["vy"] = x - s["x"], y - s["y"]
-        s.update(x=x, y=y, missing=0)
+        s.update(x=x, y=y, missing=0, picked=best)
         return [{"frame_index": row["frame_index"], "x": x, "y": y, "vx": s["vx"], "vy": s["vy"], "predicted": False}]
     if s["x"] is None:
         return []
@@ -71,6 +75,40 @@ def ball_step(s: dict, row: dict, alpha: float = 0.55, gate: float = 120.0, jump
     return [{"frame_index": row["frame_index"], "x": s["x"], "y": s["y"], "vx": s["vx"], "vy": s["vy"], "predicted": True}]
 
 
+BALL_BOXES = "video_id string, frame_index long, x1 double, y1 double, x2 double, y2 double, confidence double, vx double, vy double, predicted boolean"
+
+
+def ball_box_step(s: dict, row: dict, **how) -> list[dict]:
+    """``ball_step`` on boxes (x1 to y2, confidence): the smoothed centre with the size and confidence of the box last picked."""
+    boxes = row["candidates"] if row["candidates"] is not None else []
+    centres = [{"x": (b["x1"] + b["x2"]) / 2, "y": (b["y1"] + b["y2"]) / 2, "confidence": b["confidence"], "w": (b["x2"] - b["x1"]) / 2, "h": (b["y2"] - b["y1"]) / 2} for b in boxes]
+    out = []
+    for r in ball_step(s, {"frame_index": row["frame_index"], "candidates": centres}, **how):
+        x, y, b = r.pop("x"), r.pop("y"), s["picked"]
+        corners = {"x1": x - b["w"], "y1": y - b["h"], "x2": x + b["w"], "y2": y + b["h"]}
+        out.append(r | corners | {"confidence": 1.0 if b["confidence"] is None else b["confidence"]})
+    return out
+
+
+def track_ball_boxes(df: DataFrame) -> DataFrame:
+    """video_id, frame_index, candidates (x1 to y2, confidence) to smoothed boxes."""
+    return run_per_video(df, ball_start, ball_box_step, BALL_BOXES, ["frame_index"])
+
+
+def surest_ball(df: DataFrame, least: float = SURE) -> DataFrame:
+    """The simple mode: each frame's surest box (of equally sure ones the first; without a confidence 1), if sure enough, with the way of its
+    centre since the frame before, 0 if that had none. Columns only; a video is sorted by Spark."""
+    sure = lambda c: F.coalesce(c["confidence"].cast("double"), F.lit(1.0))
+    ranked = F.transform("candidates", lambda c, i: F.struct(sure(c).alias("confidence"), (-i).alias("o"), c.alias("b")))
+    best = F.array_max(F.transform(F.filter(ranked, lambda r: r["confidence"] >= least), lambda r: F.struct(r["confidence"], r["o"], *(r["b"][c].cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))))
+    rows = df.select("video_id", "frame_index", best.alias("b"))
+    w = Window.partitionBy("video_id").orderBy("frame_index")
+    mid = lambda b, a, c: (b[a] + b[c]) / 2
+    way = lambda a, c: F.coalesce(mid(F.col("b"), a, c) - mid(F.lag("b").over(w), a, c), F.lit(0.0))
+    out = rows.withColumns({"vx": way("x1", "x2"), "vy": way("y1", "y2")}).where("b is not null")
+    return out.select("video_id", "frame_index", *(F.col(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2", "confidence")), "vx", "vy", F.lit(False).alias("predicted"))
+
+
 # --- Possession: hysteresis over the nearest player -------------------------------------------
 
 POSSESSION = "video_id string, frame_index long, possessor_track_id long"

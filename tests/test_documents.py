@@ -3,6 +3,7 @@
 import glob
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,23 @@ def test_stage_times_and_speed_up(spark):
     assert sorted((r.stage, r.seconds, r.share, r.ms_a_frame, r.place) for r in S.stage_times(laps, ["run"]).collect()) == [("a", 1.0, 25.0, 100.0, 2), ("b", 3.0, 75.0, 300.0, 1)]
     runs = spark.createDataFrame([("x", 1, 187.0, 7.0), ("x", 2, 126.7, 6.0), ("y", 1, 5.0, 1.0)], "clip string, workers int, wall double, memory double")
     assert sorted(map(tuple, S.speed_up(runs, ["clip"]).collect())) == [("x", 1.48, 0.738, 7.0), ("y", None, None, 1.0)]
+
+
+BOXES = "array<struct<x1:double,y1:double,x2:double,y2:double,confidence:double>>"
+
+
+def test_ball_boxes_keep_the_size_they_were_seen_with(spark):
+    seen = [[(0.0, 0.0, 10.0, 20.0, 0.9)], [(10.0, 0.0, 30.0, 10.0, None)], None, [(500.0, 500.0, 510.0, 510.0, 0.8)], [(0.0, 0.0, 1.0, 1.0, 0.1)], []]
+    df = spark.createDataFrame([("v", f, c) for f, c in enumerate(seen)], f"video_id string, frame_index long, candidates {BOXES}")
+    got = [tuple(r)[2:] for r in K.track_ball_boxes(df).orderBy("frame_index").collect()]
+    x, y = 0.55 * 20 + 0.45 * 5, 0.55 * 5 + 0.45 * 10
+    held = (x - 10, y - 5, x + 10, y + 5, 1.0, x - 5, y - 10)
+    assert got[0] == (0.0, 0.0, 10.0, 20.0, 0.9, 0.0, 0.0, False)
+    assert all(np.allclose(g[:7], held) for g in got[1:]) and [g[7] for g in got[1:]] == [False, True, True, True, True]
+
+
+def test_the_simple_ball_has_no_memory(spark):
+    seen = [[(0.0, 0.0, 10.0, 10.0, 0.5), (4.0, 0.0, 14.0, 10.0, 0.5)], [(10.0, 2.0, 20.0, 12.0, None), (0.0, 0.0, 1.0, 1.0, 0.9)], [(0.0, 0.0, 1.0, 1.0, 0.2)], [(50.0, 0.0, 60.0, 10.0, 0.3)], None]
+    df = spark.createDataFrame([("v", f, c) for f, c in enumerate(seen)], f"video_id string, frame_index long, candidates {BOXES}")
+    got = [tuple(r)[1:] for r in K.surest_ball(df).orderBy("frame_index").collect()]
+    assert got == [(0, 0.0, 0.0, 10.0, 10.0, 0.5, 0.0, 0.0, False), (1, 10.0, 2.0, 20.0, 12.0, 1.0, 10.0, 2.0, False), (3, 50.0, 0.0, 60.0, 10.0, 0.3, 0.0, 0.0, False)]
