@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hardwood.operators.joins import first_by
 from hardwood.shared import written
 
 #: Bins that a round of selection cuts an interval into, rows of an interval that are few enough to be sorted, rounds at most.

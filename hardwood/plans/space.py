@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hardwood.operators import arcs as A
 from hardwood.operators import cameras as C
 from hardwood.operators import shots3d as S
 from hardwood.plans.queries import WITH, players, query, table
