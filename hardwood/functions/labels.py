@@ -91,3 +91,12 @@ def bottleneck(ms: Column, least: float = 400.0) -> Column:
 
 def recency(age_days: Column) -> Column:
     return F.when(age_days < 1, "today").when(age_days < 7, "7d").when(age_days < 30, "30d").otherwise("older")
+
+
+def frame_rate(fps: Column, default: float = 30.0) -> Column:
+    """A video's frames a second; ``default`` where the file says none."""
+    return F.when(fps > 0, fps).otherwise(F.lit(default))
+
+
+def frame_time(frame_index: Column, fps: Column) -> Column:
+    return F.round(frame_index / frame_rate(fps), 4)

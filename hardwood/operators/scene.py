@@ -122,3 +122,10 @@ def shown(df: DataFrame, white: bool, dark: bool, possessor_only: bool) -> DataF
     """Players that a viewer shows: of the teams that are on, those of no team if either is, or the possessor alone."""
     team = F.when(F.col("team") == "white", white).when(F.col("team") == "dark", dark).otherwise(white or dark)
     return df.where(team & (~F.lit(possessor_only) | (F.col("track_id") == F.col("possessor_track_id"))))
+
+
+def shown_marks(marks: DataFrame, ball: bool, referees: bool, rims: bool, possessor_only: bool) -> DataFrame:
+    """Boxes other than players' (kind: ball, referee, rim) that a viewer shows: those of the layers that are on, none beside the
+    possessor alone. Other kinds are never shown."""
+    on = [k for k, v in (("ball", ball), ("referee", referees), ("rim", rims)) if v and not possessor_only]
+    return marks.where(F.col("kind").isin(on)) if on else marks.where("false")

@@ -154,3 +154,16 @@ def shown_results(spark, sf_dir):
     frames = e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_index"))
     ends = e.where("event_type = 'purchase'").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("end_frame"), (F.col("value") > 50).alias("made"), F.lit("left").alias("side"))
     return K.shown_results(frames, ends).select(F.col("video_id").alias("user_id"), F.col("frame_index").alias("event_id"), "made")
+
+
+@query("select event_id, k.kind from events, (select unnest(['ball','referee','rim','other']) kind) k where k.kind in ('ball','rim') and (event_id%4=0 and k.kind='ball' or event_id%4=1 and k.kind='rim')")
+def viewer_marks(spark, sf_dir):
+    i = F.col("event_id")
+    kind = F.when(i % 4 == 0, "ball").when(i % 4 == 1, "rim").when(i % 4 == 2, "referee").otherwise("other")
+    return N.shown_marks(table(spark, sf_dir, "events").select("event_id", kind.alias("kind")), True, False, True, False)
+
+
+@query("select event_id, case when user_id%7>0 then (user_id%7)*10.0e0 else 30.0e0 end fps, round(event_id/case when user_id%7>0 then (user_id%7)*10.0e0 else 30.0e0 end,4) \"at\" from events")
+def frame_times(spark, sf_dir):
+    fps = F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 7 * 10.0).otherwise(F.when(F.col("user_id") % 2 == 0, 0.0))
+    return table(spark, sf_dir, "events").select("event_id", L.frame_rate(fps).alias("fps"), L.frame_time(F.col("event_id"), fps).alias("at"))
