@@ -19,6 +19,8 @@ WORDS, PERCENT = 5, 75
 RANGE_BITS, COUNTER_BITS, FLAG_BITS = 12, 20, 27
 #: Shingles counted so often come last in the order of shingles, but at most those of one bit in MANY.
 MANY = 16
+#: Shingles of a range that are counted by sorting; of more, in counters. Both give the same.
+FEW = 1 << 17
 #: Shingles counted, and entries of prefixes sent, in a run; entries of prefixes that meet at once.
 RUN_SHINGLES, RUN_ENTRIES, MEET_ENTRIES = 4_000_000, 1_000_000, 1 << 20
 #: Blocks of at most so many sets are compared by pairs; of larger ones, so many sets are in a row.
@@ -123,12 +125,32 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 # --- Blocks: sets that share a shingle of their prefixes ----------------------------------------
 
 
+def _flags_by_counters(count: np.ndarray) -> bytes:
+    """A range's part of the bitmap: the bits of counters of MANY or more, at most one bit in MANY."""
+    most = count.reshape(-1, 1 << (RANGE_BITS + COUNTER_BITS - FLAG_BITS)).max(1)
+    cut = np.partition(most, -(len(most) // MANY))[-(len(most) // MANY)]
+    return np.packbits((most >= MANY) & (most > cut)).tobytes()
+
+
+def _flags_by_sorting(values: np.ndarray) -> bytes:
+    """What ``_flags_by_counters`` gives for the counters of ``values``, in time that follows their number."""
+    shift = RANGE_BITS + COUNTER_BITS - FLAG_BITS
+    flags, share = np.zeros(1 << (COUNTER_BITS - shift), bool), (1 << (COUNTER_BITS - shift)) // MANY
+    values, n = np.unique(values, return_counts=True)
+    bits = values >> shift
+    starts = np.flatnonzero(np.diff(bits, prepend=-1))
+    most = np.maximum.reduceat(n, starts) if len(starts) else n
+    cut = np.partition(most, -share)[-share] if len(most) >= share else 0
+    flags[bits[starts[(most >= MANY) & (most > cut)]]] = True
+    return np.packbits(flags).tobytes()
+
+
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     """A bitmap of FLAG_BITS bits that is set for the most frequent shingles, and the number of shingles.
 
     Tasks send 16 bits of each shingle of their distinct sets, sorted, in runs of one range of values;
-    a range's runs are read one after another into 2**COUNTER_BITS counters. Set are the bits of
-    counters of MANY or more, but at most one in MANY of all. So memory is the same whatever the
+    a range's runs are read one after another into 2**COUNTER_BITS counters, or sorted if they are
+    short. Set are the bits of counters of MANY or more, but at most one in MANY of all. So memory is the same whatever the
     input. The bitmap only orders shingles: any bitmap gives the same links.
     """
     step = 1 << (16 - RANGE_BITS)
@@ -165,26 +187,28 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
                 held.clear()
 
         def out():
-            add()
-            most = count.reshape(-1, 1 << (RANGE_BITS + COUNTER_BITS - FLAG_BITS)).max(1)
-            cut = np.partition(most, -(len(most) // MANY))[-(len(most) // MANY)]
-            raw = np.packbits((most >= MANY) & (most > cut)).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([raw], pa.binary()), pa.array([int(count.sum())], pa.int64())], ["range", "flags", "n"])
+            if full or size > FEW:
+                add()
+                raw, n = _flags_by_counters(count), int(count.sum())
+                count[:] = 0
+            else:
+                raw, n = _flags_by_sorting(np.concatenate(held)), size
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([raw], pa.binary()), pa.array([n], pa.int64())], ["range", "flags", "n"])
 
-        at, held, size, count = None, [], 0, np.zeros(1 << COUNTER_BITS, np.int64)
+        at, held, size, full, count = None, [], 0, False, np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches:
             for i, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if i != at:
                     if at is not None:
                         yield out()
-                    at, size = i, 0
-                    count[:] = 0
+                    at, size, full = i, 0, False
                 raw = run.as_py()
                 held.append((np.repeat(np.arange(step), np.frombuffer(raw, "<u4", step)) << 16) | np.frombuffer(raw, "<u2", offset=4 * step))
                 size += len(held[-1])
                 if size > RUN_SHINGLES:
                     add()
-                    size = 0
+                    size, full = 0, True
         if at is not None:
             yield out()
 

@@ -140,6 +140,27 @@ def test_jaccard(docs):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(ROWS)
 
 
+@pytest.mark.parametrize("n", [0, 1, 100, 20_000, 200_000])
+def test_flags_by_sorting_are_those_of_counters(n):
+    g, top = np.random.default_rng(n), 1 << jaccard.COUNTER_BITS
+    for values in (g.integers(0, top, n), (g.pareto(0.6, n) * 50).astype(np.int64) % top, g.integers(0, 4000, n) * 257 % top):
+        want = jaccard._flags_by_counters(np.bincount(values, minlength=top))
+        assert jaccard._flags_by_sorting(values) == want
+
+
+def test_bitmap_is_the_same_by_sorting_and_by_counters(spark, monkeypatch):
+    rows = [(i, " ".join(WORDS[:20] + [f"own{i}"])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = []
+    for few, run in ((jaccard.FEW, jaccard.RUN_SHINGLES), (0, jaccard.RUN_SHINGLES), (0, 20)):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        monkeypatch.setattr(jaccard, "RUN_SHINGLES", run)
+        out.append(jaccard._frequent(docs, 1))
+    assert [n for _, n in out] == [30 * len({*WORDS[:20]}) + 30] * 3
+    assert np.unpackbits(out[0][0]).sum() == len({*WORDS[:20]})
+    assert (out[0][0] == out[1][0]).all() and (out[0][0] == out[2][0]).all()
+
+
 def test_jaccard_in_chunks(spark, monkeypatch):
     """Groups of copies about the threshold, in chunks so small that each group takes several."""
     rows = [(i, t, "s0") for i, t in enumerate(prose(90) for _ in range(4))]
