@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hardwood.operators.joins import first_by
 from hardwood.shared import written
@@ -89,6 +90,7 @@ def brightness_of_clusters(rows: DataFrame, bright: str, channels: list[str]) ->
 def agreement(rows: DataFrame, truth: str) -> DataFrame:
     """cluster, n, the commonest ``truth`` of the cluster (of equally common ones the least) and its share."""
     n = rows.groupBy("cluster", truth).agg(F.count("*").alias("c"))
-    total = n.groupBy("cluster").agg(F.sum("c").alias("n"))
-    best = first_by(n, ["cluster"], F.desc("c"), truth)
-    return best.join(total, "cluster").select("cluster", "n", truth, (F.col("c") / F.col("n")).alias("share"))
+    # A window, not a join with the totals: from ``cluster``, an expression of the vector, Spark infers a filter for the other
+    # side of such a join, where there is no vector, once the counts are written.
+    n = n.withColumn("n", F.sum("c").over(Window.partitionBy("cluster")))
+    return first_by(n, ["cluster"], F.desc("c"), truth).select("cluster", "n", truth, (F.col("c") / F.col("n")).alias("share"))

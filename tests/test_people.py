@@ -63,6 +63,21 @@ def test_the_bright_cluster_is_white(spark):
     assert [r.team for r in T.brightness_of_clusters(rows.where("cluster = 0"), "bright", []).collect()] == [None]
 
 
+def test_agreement_of_clustered_rows(spark):
+    """Every cluster's commonest label, by plain counts, from the clusters of written vectors."""
+    # Ten groups of vectors; the label is that of the group but in every seventh row.
+    e = spark.range(2000).selectExpr("id vec_id", "transform(sequence(0, 63), i -> cast(if(i = id % 10, 5, 0) + (id * (i + 3) % 17) / 100 as float)) embedding", "cast(if(id % 7 = 0, id % 3, id % 10) as int) label")
+    rows = T.cluster_teams(e.repartition(2), 10, rounds=1)[0]
+    counts = {}
+    for r in rows.select("cluster", "label").collect():
+        counts.setdefault(r.cluster, {}).setdefault(r.label, []).append(1)
+    want = {c: (sum(map(len, k.values())), min(k, key=lambda x: (-len(k[x]), x))) for c, k in counts.items()}
+    got = T.agreement(rows, "label")
+    assert {r.cluster: (r.n, r.label) for r in got.collect()} == want and len(want) == 10
+    # Which side of a join was ready first decided whether the query failed, so there must be none.
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- Masks ----------------------------------------------------------------------------------
 
 
