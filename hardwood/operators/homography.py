@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -15,6 +17,8 @@ INLIER_FT, LEAST_INLIERS, MOST_RESIDUAL, LEAST_SPAN, COURT_POINTS = 5.0, 5, 15.0
 POOL, LEAST_POOL, WEIGHT, HOLDOVER = 25, 6, 0.35, 30
 #: Samples of four points tried, drawn by a fixed seed.
 TRIALS, SEED = 256, 7
+#: Samples compared at once, so that what is compared stays in a core's cache.
+SLICE = 64
 
 ESTIMATES = "video_id string, frame_index long, h array<double>, confidence double, inliers int, residual double, cached boolean, reason string"
 
@@ -36,6 +40,48 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3)
 
 
+@lru_cache(maxsize=1024)
+def draws_of_four(trials: int, n: int, seed: int) -> np.ndarray:
+    """``trials`` samples (trials, 4) of the places 0 to n - 1; the same for equal arguments."""
+    return np.random.default_rng(seed).random((trials, n)).argpartition(3, axis=1)[:, :4]
+
+
+def through_four(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrices (..., 3, 3) that take four points ``a`` (..., 4, 2) to ``b``, in closed form and up to a factor. Of samples that
+    tell none, such as three points on a line, all points may fall to scale 0."""
+
+    def parts(p: np.ndarray) -> tuple[list, list, list]:
+        """Points, the normals of the lines through two of the first three, and how far the fourth is off these."""
+        x, y = p[..., 0], p[..., 1]
+        sides = [(y[..., i] - y[..., j], x[..., j] - x[..., i], x[..., i] * y[..., j] - x[..., j] * y[..., i]) for i, j in ((1, 2), (2, 0), (0, 1))]
+        return [(x[..., i], y[..., i], 1.0) for i in range(3)], sides, [s[0] * x[..., 3] + s[1] * y[..., 3] + s[2] for s in sides]
+
+    (_, sides, off), (points, _, off_b) = parts(a), parts(b)
+    size = [off_b[i] * off[j] * off[k] for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+    h = np.empty((*a.shape[:-2], 3, 3))
+    for r in range(3):
+        grown = [size[i] * points[i][r] for i in range(3)]
+        for c in range(3):
+            h[..., r, c] = grown[0] * sides[0][c] + grown[1] * sides[1][c] + grown[2] * sides[2][c]
+    return h
+
+
+def within(h: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | float) -> np.ndarray:
+    """(..., trials, n): whether matrices (..., trials, 3, 3) take points ``a`` (..., n, 2) to within ``most`` of ``b``. The distance
+    is compared before the division by the scale, so it is three products of matrices; points at scale 0 aren't."""
+    x, y, one = a[..., 0], a[..., 1], np.ones(a.shape[:-1])
+    at = np.stack([x, y, one], -2)
+    scale = h[..., 2, :] @ at
+    off = [np.concatenate([h[..., i, :], h[..., 2, :]], -1) @ np.concatenate([at, -b[..., None, :, i] * at], -2) for i in (0, 1)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for m in (*off, scale):
+            np.multiply(m, m, out=m)
+        off[0] += off[1]
+        ok = off[0] <= scale * most**2
+    ok &= scale > 0
+    return ok
+
+
 def projected(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Points (n, 2) by matrices (..., 3, 3); not finite where the scale is 0."""
     q = np.concatenate([p, np.ones((len(p), 1))], 1) @ np.swapaxes(h, -1, -2)
@@ -63,19 +109,22 @@ def robust_fit(image: np.ndarray, world: np.ndarray) -> tuple[np.ndarray | None,
     if (np.ptp(world, axis=0) < LEAST_SPAN).any():
         return None, n, float("inf"), "low_span"
     (a, ta), (b, tb) = _scaled(image), _scaled(world)
-    draws = np.random.default_rng(SEED).random((TRIALS, n)).argpartition(3, axis=1)[:, :4]
-    scale = 1.0 / tb[0, 0]
-
-    def inside(h: np.ndarray) -> np.ndarray:
-        return np.nan_to_num(np.linalg.norm(projected(h, a) - b, axis=-1), nan=np.inf) * scale <= INLIER_FT
-
-    best = inside(_solve(a[draws], b[draws]))
-    mask = best[best.sum(1).argmax()]
+    draws = draws_of_four(TRIALS, n, SEED)
+    most = INLIER_FT * tb[0, 0]
+    tried, count = through_four(a[draws], b[draws]), -1
+    for at in range(0, TRIALS, SLICE):
+        some = within(tried[at : at + SLICE], a, b, most)
+        counts = np.count_nonzero(some, axis=1)
+        first = counts.argmax()
+        if counts[first] > count:
+            mask, count = some[first], counts[first]
+        if count == n:
+            break
     for _ in range(5):
         if mask.sum() < LEAST_INLIERS:
             return None, int(mask.sum()), float("inf"), "few_inliers"
         h = _solve(a[None, mask], b[None, mask])[0]
-        now = inside(h)
+        now = within(h[None], a, b, most)[0]
         if (now == mask).all():
             break
         mask = now

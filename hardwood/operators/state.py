@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hardwood.functions.geometry import box, centre, distance, edge_distance
+from hardwood.shared import spread
 
 
 def run_grouped(df: DataFrame, keys: list[str], start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:
@@ -31,7 +32,7 @@ def run_grouped(df: DataFrame, keys: list[str], start: Callable[[], dict], step:
                 out += [{k: row[k] for k in keys} | r for r in step(state, row)]
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def run_per_video(df: DataFrame, start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], schema: str, order: list[str]) -> DataFrame:
@@ -290,7 +291,7 @@ def per_frame(df: DataFrame, keys: list[str], order: list, choose: Callable[[pd.
             cuts = [*begins(pdf), len(pdf)]
             yield pdf.iloc[[a + i for a, b in zip(cuts, cuts[1:]) for i in sorted(choose(pdf.iloc[a:b].reset_index(drop=True)))]]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
 
 
 def _overlaps(rows: pd.DataFrame) -> np.ndarray:
