@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hardwood.operators.homography import COURT_POINTS, MOST_RESIDUAL, plane_start, plane_step, projected, residual
+from hardwood.operators.homography import COURT_POINTS, MOST_RESIDUAL, draws_of_four, plane_start, plane_step, residual, through_four, within
 from hardwood.operators.state import run_per_video
 from hardwood.operators.trackers import camera_moved, segment_start, valid_points
+from hardwood.shared import spread
 
 # Frames that the focal length is the median of, least points of a pose and of a camera without outliers,
 # greatest error of an inlier in pixels, frames that a pose is predicted for.
@@ -25,6 +27,8 @@ FOCAL_FRAMES, LEAST_POINTS, LEAST_PLAIN, INLIER_PX, HOLDOVER = 30, 6, 4, 5.0, 30
 MOTION_NOISE, SIGHT_NOISE = (1e-4, 1e-2), (1e-3, 1e-1)
 #: Samples of four points tried for a pose, drawn by a fixed seed; steps of its refinement.
 TRIALS, SEED, STEPS = 96, 7, 12
+#: Frames solved together, so that their matrices stay small.
+TOGETHER = 256
 
 POSES = "rotation array<double>, shift array<double>, inliers int, camera array<double>"
 CAMERAS = "video_id string, frame_index long, h array<double>, camera array<double>, confidence double, inliers int, residual double, cached boolean, reason string"
@@ -187,23 +191,30 @@ def plane_poses(world: np.ndarray, image: np.ndarray, weight: np.ndarray, focal:
 
 
 def _consensus(world: np.ndarray, image: np.ndarray) -> np.ndarray:
-    """Points of a frame that agree, within INLIER_PX, with the plane of the best of TRIALS samples of four of them."""
-    n = len(world)
-    draws = np.random.default_rng(SEED).random((TRIALS, n)).argpartition(3, axis=1)[:, :4]
-    some = np.ones((TRIALS, 4))
+    """(m, n): points (m, n, 2) of each frame that agree, within INLIER_PX, with the plane of the best of TRIALS samples of four
+    of them. Frames are solved together."""
 
-    def inside(h: np.ndarray) -> np.ndarray:
-        return np.nan_to_num(np.linalg.norm(projected(h, world) - image, axis=-1), nan=np.inf) <= INLIER_PX
-
-    best = inside(_homographies(world[draws], image[draws], some))
-    mask = best[best.sum(1).argmax()]
+    def scaled(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = p - p.mean(1, keepdims=True)
+        k = np.sqrt(2) / np.maximum(np.linalg.norm(p, axis=2).mean(1), 1e-12)
+        return p * k[:, None, None], k
+
+    (a, _), (b, k) = scaled(world), scaled(image)
+    draws = draws_of_four(TRIALS, world.shape[1], SEED)
+    best = within(through_four(a[:, draws], b[:, draws]), a, b, INLIER_PX * k[:, None, None])
+    mask = best[np.arange(len(best)), np.count_nonzero(best, axis=2).argmax(1)]
+    todo = np.arange(len(mask))
     for _ in range(5):
-        if mask.sum() < 4:
-            return np.zeros(n, bool)
-        now = inside(_homographies(world[None, mask], image[None, mask], np.ones((1, int(mask.sum())))))[0]
-        if (now == mask).all():
+        few = mask[todo].sum(1) < 4
+        mask[todo[few]] = False
+        todo = todo[~few]
+        if not len(todo):
             break
-        mask = now
+        h = _homographies(world[todo], image[todo], mask[todo].astype(float))
+        now = within(h[:, None], world[todo], image[todo], INLIER_PX)[:, 0]
+        changed = (now != mask[todo]).any(1)
+        mask[todo] = now
+        todo = todo[changed]
     return mask
 
 
@@ -217,51 +228,66 @@ def solve_poses(frames: list[tuple[np.ndarray, np.ndarray, float, np.ndarray]])
     """rotation vector, shift, inliers and camera of each frame (court points, image points, focal length, centre).
 
     The pose is that of the points that agree, the camera that of all points; each null with too few. Points that lie
-    on one line tell no pose.
+    on one line tell no pose. Frames with equally many points are solved together, TOGETHER at a time.
     """
     out = [[None, None, 0, None] for _ in frames]
-    masks = [_consensus(w, p) if len(w) >= LEAST_POINTS and _spread(w) else np.zeros(len(w), bool) for w, p, _, _ in frames]
-    plain = [np.full(len(w), len(w) >= LEAST_PLAIN and _spread(w)) for w, *_ in frames]
-    for least, chosen, place in ((LEAST_POINTS, masks, 0), (LEAST_PLAIN, plain, 3)):
-        which = [i for i, m in enumerate(chosen) if m.sum() >= least and _spread(frames[i][0][m])]
-        if not which:
-            continue
-        most = max(len(frames[i][0]) for i in which)
-        world, image, weight = np.zeros((len(which), most, 2)), np.zeros((len(which), most, 2)), np.zeros((len(which), most))
-        for j, i in enumerate(which):
-            n = len(frames[i][0])
-            world[j, :n], image[j, :n], weight[j, :n] = frames[i][0], frames[i][1], chosen[i]
-        focal, centre = np.array([frames[i][2] for i in which]), np.array([frames[i][3] for i in which])
-        r, t = plane_poses(world, image, weight, focal, centre)
-        for j, i in enumerate(which):
-            if not np.isfinite(r[j]).all() or not np.isfinite(t[j]).all():
-                continue
-            if place == 0:
-                out[i][:3] = rotation_vector(r[j]).tolist(), t[j].tolist(), int(chosen[i].sum())
-            else:
-                out[i][3] = camera_matrix(focal[j], centre[j], r[j], t[j]).ravel().tolist()
+    sizes = np.array([len(f[0]) for f in frames], int)
+    for n in np.unique(sizes[sizes >= min(LEAST_POINTS, LEAST_PLAIN)]):
+        same = np.flatnonzero(sizes == n)
+        for at in range(0, len(same), TOGETHER):
+            _solve_alike(frames, same[at : at + TOGETHER], out)
     return out
 
 
-def _spread(points: np.ndarray) -> bool:
-    """Whether points span an area."""
-    return len(points) >= 3 and float(np.linalg.svd(points - points.mean(0), compute_uv=False)[1]) > 1e-6
+def _solve_alike(frames: list[tuple], which: np.ndarray, out: list[list]) -> None:
+    """``solve_poses`` of frames with equally many points, into ``out``."""
+    world, image = (np.stack([frames[i][j] for i in which]) for j in (0, 1))
+    focal, centre = np.array([frames[i][2] for i in which], float), np.stack([frames[i][3] for i in which])
+    n = world.shape[1]
+    plain = _spread(world, np.ones(world.shape[:2], bool)) & (n >= LEAST_PLAIN)
+    mask = np.zeros(world.shape[:2], bool)
+    if n >= LEAST_POINTS and plain.any():
+        mask[plain] = _consensus(world[plain], image[plain])
+    agreed = (mask.sum(1) >= LEAST_POINTS) & _spread(world, mask)
+    r, t = np.full((len(which), 3, 3), np.nan), np.full((len(which), 3), np.nan)
+    if plain.any():
+        r[plain], t[plain] = plane_poses(world[plain], image[plain], np.ones((int(plain.sum()), n)), focal[plain], centre[plain])
+    # Where all points agree, the two poses are one.
+    some = agreed & ~mask.all(1)
+    r2, t2 = r.copy(), t.copy()
+    if some.any():
+        r2[some], t2[some] = plane_poses(world[some], image[some], mask[some].astype(float), focal[some], centre[some])
+    for j, i in enumerate(which):
+        if agreed[j] and np.isfinite(r2[j]).all() and np.isfinite(t2[j]).all():
+            out[i][:3] = rotation_vector(r2[j]).tolist(), t2[j].tolist(), int(mask[j].sum())
+        if plain[j] and np.isfinite(r[j]).all() and np.isfinite(t[j]).all():
+            out[i][3] = camera_matrix(focal[j], centre[j], r[j], t[j]).ravel().tolist()
+
+
+def _spread(points: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Whether the points (m, n, 2) of a frame that ``mask`` (m, n) names span an area."""
+    count = mask.sum(1)
+    mid = (points * mask[..., None]).sum(1) / np.maximum(count, 1)[:, None]
+    return (count >= 3) & (np.linalg.svd((points - mid[:, None]) * mask[..., None], compute_uv=False)[:, 1] > 1e-6)
 
 
 def frame_poses(frames: DataFrame, focals: DataFrame) -> DataFrame:
-    """``frames`` with focal, calibrated_at and, from that frame on, the columns of POSES; the others null. In batches, no order."""
-    rows = frames.join(focals.select("video_id", "focal", "calibrated_at"), "video_id", "left")
+    """``frames`` with focal, calibrated_at and, from that frame on, the columns of POSES; the others null. In batches, no order,
+    so the frames of a video are dealt over tasks."""
+    rows = spread(frames.join(focals.select("video_id", "focal", "calibrated_at"), "video_id", "left"), "video_id", "frame_index")
     types = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = [f is not None and i >= at for f, i, at in zip(*(b.column(c).to_pylist() for c in ("focal", "frame_index", "calibrated_at")), strict=True)]
             which = [i for i, k in enumerate(known) if k]
-            todo = []
-            for i in which:
-                points = [p for p in b.column("points")[i].as_py() or [] if p["valid"]]
-                centre = np.array([b.column("width")[i].as_py(), b.column("height")[i].as_py()], float) / 2
-                todo.append((np.array([(p["wx"], p["wy"]) for p in points], float).reshape(-1, 2), np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2), b.column("focal")[i].as_py(), centre))
+            points = b.column("points")
+            owner, each = pc.list_parent_indices(points).to_numpy(), points.flatten()
+            valid = each.field("valid").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            owner, values = owner[valid], np.stack([each.field(c).to_numpy(zero_copy_only=False)[valid] for c in ("wx", "wy", "x", "y")], 1).astype(float)
+            first, last = np.searchsorted(owner, which), np.searchsorted(owner, which, "right")
+            width, height, focal = (b.column(c).to_pylist() for c in ("width", "height", "focal"))
+            todo = [(values[p:q, :2], values[p:q, 2:], focal[i], np.array([width[i], height[i]], float) / 2) for i, p, q in zip(which, first, last, strict=True)]
             solved = dict(zip(which, solve_poses(todo), strict=True)) if todo else {}
             cells = [solved.get(i, (None, None, None, None)) for i in range(b.num_rows)]
             added = [pa.array([c[j] for c in cells], t) for j, t in enumerate(types)]

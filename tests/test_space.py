@@ -1,6 +1,7 @@
 """Cameras of known scenes, and shots from sightings to documents, against plain code."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -137,6 +138,30 @@ def test_court_cameras_follow_predict_and_fall_back(spark):
     assert max(np.abs(seen(m, places) - seen(ps[i], places)).max() for i, m in direct.items()) < 0.01
 
 
+def test_poses_are_solved_together_and_in_many_tasks(spark):
+    """A video's frames are dealt over tasks, odd points are passed over, and a frame's pose takes a fraction of a millisecond."""
+    p, _ = looking((47, -50, 30), (50, 25, 0), 1000.0)
+    image = on_court(p)
+    good = [(k, float(x), float(y), True, *map(float, COURT[k])) for k, (x, y) in enumerate(image)]
+    odd = [(90, 1.0, 1.0, None, 5.0, 5.0), (91, 1.0, 1.0, False, 5.0, 5.0), (92, None, None, False, None, None)]
+    rows = [("a", i, *SIZE, None if i % 10 == 3 else [] if i % 10 == 4 else good[: 6 + i % 10] + odd) for i in range(400)]
+    frames = spark.createDataFrame(rows, f"video_id string, frame_index long, width int, height int, points {POINTS}").repartition(3)
+    focals = spark.createDataFrame([("a", 1000.0, 10)], "video_id string, focal double, calibrated_at long")
+    got = C.frame_poses(frames, focals).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 3 and len(got) == 400
+    for r in got:
+        n = 0 if r.frame_index % 10 in (3, 4) else 6 + r.frame_index % 10
+        assert (r.camera is not None) == (r.frame_index >= 10 and n >= 4) and (r.rotation is not None) == (r.frame_index >= 10 and n >= 6)
+        assert r.camera is None or np.abs(np.array(r.camera).reshape(3, 4) - p).max() < 1e-5 * np.abs(p).max()
+        assert r.inliers in ((n,) if r.rotation is not None else (0, None))
+    many, times = [(COURT[:10], image[:10], 1000.0, np.array(SIZE) / 2)] * 300, []
+    for _ in range(5):
+        start = time.perf_counter()
+        C.solve_poses(many)
+        times.append(time.perf_counter() - start)
+    assert min(times) / 300 < 0.0006
+
+
 def test_filter_of_poses_by_plain_recursion():
     s, at, spread = C._filter_start(), None, None
     move = np.block([[np.eye(6), np.eye(6)], [np.zeros((6, 6)), np.eye(6)]])
