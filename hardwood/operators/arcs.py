@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hardwood.shared import spread
+
 # Gravity in feet a second squared, the rim's height in feet.
 GRAVITY, RIM_FT = 32.174, 10.0
 # A plausible shot's reprojection error (pixels), apex (feet) and launch angle (degrees); a
@@ -124,17 +127,19 @@ def is_physical(n: Column, z0: Column, min_z: Column) -> Column:
 
 def match_greedy(said: list[tuple], truths: list[tuple], least: list[float]) -> list[list[bool]]:
     """For each threshold, whether each of ``said`` (boxes, surest first) meets a truth of its own."""
+    # Of each box the truths that overlap it, the most first and of equal ones the first: the same for all thresholds.
+    ranked = []
+    for b in said:
+        over = [(_iou(b, g), -i) for i, g in enumerate(truths) if b[0] < g[2] and g[0] < b[2] and b[1] < g[3] and g[1] < b[3]]
+        ranked.append(sorted((o for o in over if o[0] > 0), reverse=True))
     out = []
     for bound in least:
-        free, hits = list(truths), []
-        for b in said:
-            best, at = 0.0, None
-            for i, g in enumerate(free):
-                if (over := _iou(b, g)) > best:
-                    best, at = over, i
+        taken, hits = set(), []
+        for over in ranked:
+            best, at = next((o for o in over if o[1] not in taken), (0.0, None))
             hits.append(at is not None and best >= bound)
             if hits[-1]:
-                free.pop(at)
+                taken.add(at)
         out.append(hits)
     return out
 
@@ -145,8 +150,16 @@ def _iou(a: tuple, b: tuple) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def matched(said: DataFrame, truths: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
-    """keys, det_idx, confidence, threshold and hit of each box of ``said`` (det_idx, confidence, x1 to y2), by
+def _boxes_by_row(lists: pa.Array, corners: tuple[str, ...]) -> list[list[tuple]]:
+    """The boxes of each row's list of structs; none of a null list."""
+    each = lists.flatten()
+    boxes = list(zip(*(each.field(c).to_pylist() for c in corners), strict=True))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [boxes[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def matched_lists(said: DataFrame, truths: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
+    """keys, det_idx, confidence and hits, one a threshold, of each box of ``said`` (det_idx, confidence, x1 to y2), by
     greedy matching within an image and class with ``truths`` (x1 to y2 and gt_idx).
 
     The boxes of one image and class are gathered as two short lists; so images stream through tasks.
@@ -155,19 +168,24 @@ def matched(said: DataFrame, truths: DataFrame, keys: list[str], thresholds: lis
     order = F.struct((-F.col("confidence")).alias("o"), "det_idx", "confidence", *corners)
     a = said.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("said"))
     b = truths.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gt_idx", *corners))).alias("truths"))
-    rows = a.join(b, keys, "left")
+    rows = spread(a.join(b, keys, "left"), *keys)
     fields = [*rows.select(*keys).schema]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "hits array<array<boolean>>", "said array<struct<det_idx:bigint,confidence:double>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            box = lambda r: tuple(r[c] for c in corners)
-            lists = [(batch.column("said")[i].as_py(), batch.column("truths")[i].as_py() or []) for i in range(batch.num_rows)]
-            hits = pa.array([match_greedy([box(x) for x in s], [box(x) for x in t], thresholds) for s, t in lists], pa.list_(pa.list_(pa.bool_())))
-            kept = pa.array([[{"det_idx": x["det_idx"], "confidence": x["confidence"]} for x in s] for s, _ in lists], pa.list_(pa.struct([("det_idx", pa.int64()), ("confidence", pa.float64())])))
+            said, truths = (_boxes_by_row(batch.column(c), corners) for c in ("said", "truths"))
+            hits = pa.array([list(map(list, zip(*match_greedy(s, t, thresholds)))) for s, t in zip(said, truths, strict=True)], pa.list_(pa.list_(pa.bool_())))
+            each, ends = batch.column("said").flatten(), np.cumsum([0, *map(len, said)])
+            answers = pa.StructArray.from_arrays([each.field("det_idx").cast(pa.int64()), each.field("confidence").cast(pa.float64())], ["det_idx", "confidence"])
+            kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), answers)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), hits, kept], [*keys, "hits", "said"])
 
-    out = rows.mapInArrow(run, ddl).select(*keys, "said", F.posexplode("hits").alias("i", "hits"))
-    limit = F.element_at(F.array(*map(F.lit, thresholds)), F.col("i") + 1)
-    each = out.select(*keys, limit.alias("threshold"), F.explode(F.arrays_zip("said", "hits")).alias("x"))
-    return each.select(*keys, "x.said.det_idx", "x.said.confidence", "threshold", F.col("x.hits").alias("hit"))
+    each = rows.mapInArrow(run, ddl).select(*keys, F.explode(F.arrays_zip("said", "hits")).alias("x"))
+    return each.select(*keys, "x.said.det_idx", "x.said.confidence", "x.hits")
+
+
+def matched(said: DataFrame, truths: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
+    """``matched_lists`` with a row a threshold: keys, det_idx, confidence, threshold and hit."""
+    each = matched_lists(said, truths, keys, thresholds).select(*keys, "det_idx", "confidence", F.posexplode("hits").alias("i", "hit"))
+    return each.select(*keys, "det_idx", "confidence", F.element_at(F.array(*map(F.lit, thresholds)), F.col("i") + 1).alias("threshold"), "hit")

@@ -73,7 +73,21 @@ def average_precision(said: DataFrame, keys: list[str], hit: str, truths: str, *
     ranges, so none is held by one task.
     """
     sums = running_sums(said, keys, list(order), {"__tp": F.col(hit).cast("long"), "__k": F.lit(1).cast("long")})
-    points = sums.select(*keys, F.col(truths).alias("__n"), "__tp", "__k")
+    return _interpolated(sums.select(*keys, F.col(truths).alias("__n"), "__tp", "__k"), keys)
+
+
+def average_precisions(said: DataFrame, keys: list[str], hits: str, thresholds: list[float], truths: str, *order) -> DataFrame:
+    """keys, threshold and ap: ``average_precision`` at each of ``thresholds``, from answers whose list ``hits`` says of each
+    whether it is right. Answers are put in order once for all thresholds."""
+    right = {f"__tp_{i}": F.get(hits, F.lit(i)).cast("long") for i in range(len(thresholds))}
+    sums = running_sums(said, keys, list(order), right | {"__k": F.lit(1).cast("long")})
+    each = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(n).alias("__tp")) for t, n in zip(thresholds, right, strict=True))))
+    points = sums.select(*keys, F.col(truths).alias("__n"), "__k", each.alias("__x")).select(*keys, "__n", "__k", "__x.*")
+    return _interpolated(points, [*keys, "threshold"])
+
+
+def _interpolated(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ap from the right answers __tp among the __k surest, at every place, of __n truths."""
     # Of each recall one row is left, so what follows is 101 rows a key.
     step = F.floor(100 * F.col("__tp") / F.nullif(F.col("__n"), F.lit(0))).cast("int").alias("__step")
     best = points.groupBy(*keys, step).agg(F.max(F.col("__tp") / F.col("__k")).alias("__p"), F.max("__n").alias("__n"))

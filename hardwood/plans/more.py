@@ -217,7 +217,8 @@ def mean_average_precision(spark, sf_dir):
     truths = p.select("frame_index", "team", F.col("track_id").alias("gt_idx"), *corners)
     off = (F.col("track_id") * 7 + F.col("frame_index")) % 13
     said = p.where("(track_id + frame_index) % 5 != 0").select("frame_index", "team", F.col("track_id").cast("long").alias("det_idx"), ((F.col("frame_index") * 31 + F.col("track_id") * 17) % 101 / 101).alias("confidence"), *((c + off).alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)))
-    hits = A.matched(said, truths, ["frame_index", "team"], [0.5 + 0.05 * k for k in range(10)])
+    thresholds = [0.5 + 0.05 * k for k in range(10)]
+    hits = A.matched_lists(said, truths, ["frame_index", "team"], thresholds)
     n = truths.groupBy("team").agg(F.count("*").alias("n"))
-    ap = Q.average_precision(hits.join(F.broadcast(n), "team"), ["team", "threshold"], "hit", "n", F.desc("confidence"), "frame_index", "det_idx")
+    ap = Q.average_precisions(hits.join(F.broadcast(n), "team"), ["team"], "hits", thresholds, "n", F.desc("confidence"), "frame_index", "det_idx")
     return ap.groupBy("team").agg(F.round(F.avg("ap"), 9).alias("map"), F.round(F.max(F.when(F.col("threshold") == 0.5, F.col("ap"))), 9).alias("ap50"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hardwood.operators import arcs as A
 from hardwood.operators import joins as J
+from hardwood.operators import sequences as Q
 from hardwood.operators import state as K
 from tests.test_state import near, play, shot
 
@@ -209,3 +210,17 @@ def test_documents_of_neither_shape_are_an_error(spark, tmp_path):
     roster = read_roster(spark, f"{tmp_path}/r.json")
     tracks = spark.createDataFrame([(1, "Celtics", "7"), (2, "Celtics", "9"), (3, None, "7"), (4, "Knicks", None)], "track_id int, team string, number string")
     assert {r.track_id: r.name for r in J.roster_names(tracks, roster).collect()} == {1: "Brown", 2: None, 3: None, 4: None}
+
+
+def test_precisions_at_once_are_those_one_by_one(spark):
+    """Lists of hits, put in order once, give what a row a threshold gives; the order is written once, not once a threshold."""
+    thresholds = [0.5, 0.6, 0.75, 0.9]
+    a = spark.range(300).selectExpr("id % 60 image", "id det_idx", "id * 37 % 101 / 101 confidence", "double(id % 5 * 30 + id * 7 % 13) x1", "0D y1", "double(id % 5 * 30 + id * 7 % 13 + 40) x2", "80D y2")
+    b = spark.range(250).selectExpr("id % 58 image", "id gt_idx", "double(id % 5 * 30) x1", "0D y1", "double(id % 5 * 30 + 40) x2", "80D y2")
+    lists = A.matched_lists(a, b, ["image"], thresholds).withColumns({"n": F.lit(250), "class": F.col("image") % 2})
+    single = A.matched(a, b, ["image"], thresholds).withColumns({"n": F.lit(250), "class": F.col("image") % 2})
+    assert lists.count() == 300 and single.count() == 1200
+    order = (F.desc("confidence"), "image", "det_idx")
+    want = {(r["class"], r.threshold): r.ap for r in Q.average_precision(single, ["class", "threshold"], "hit", "n", *order).collect()}
+    got = {(r["class"], r.threshold): r.ap for r in Q.average_precisions(lists, ["class"], "hits", thresholds, "n", *order).collect()}
+    assert got == pytest.approx(want) and len(got) == 8 and len(set(got.values())) > 4
