@@ -85,7 +85,7 @@ def fit_arcs(samples: DataFrame, keys: list[str], gravity: float = GRAVITY) -> D
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *cells], [*keys, *names])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.select(*keys).schema), FITS])
-    return lists.mapInArrow(run, ddl)
+    return spread(lists, *keys).mapInArrow(run, ddl)
 
 
 def launch_speed(vx: Column, vy: Column, vz: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hardwood.functions.geometry import M_PER_FT, distance
 from hardwood.operators import arcs as A
 from hardwood.operators import windows as W
-from hardwood.shared import written
+from hardwood.shared import spread, written
 
 # Places along a drawn arc at least, and a frame's share of them; seconds drawn past the last sighting at
 # least; pixels from the rim beyond which the drawn arc is led to it.
@@ -86,6 +86,18 @@ def _pixel(camera: Column, x: Column, y: Column, z: Column) -> Column:
     return F.when(u.isNotNull(), F.array(F.rint(u).cast("int"), F.rint(v).cast("int")))
 
 
+def _pixels(camera: Column, times: Column) -> Column:
+    """``_pixel`` of an arc (x0 to vz) at each of ``times``, step by step: each number of a place is worked out once."""
+
+    def scales(p: Column) -> Column:
+        row = lambda i: camera[4 * i] * p["x"] + camera[4 * i + 1] * p["y"] + camera[4 * i + 2] * p["z"] + camera[4 * i + 3]
+        return F.struct(*(row(i).alias(n) for i, n in enumerate("uvw")))
+
+    places = F.transform(times, lambda t: F.struct(*(c.alias(n) for n, c in zip("xyz", place_at(t), strict=True))))
+    whole = lambda c: F.rint(c).cast("int")
+    return F.transform(F.transform(places, scales), lambda s: F.when(F.abs(s["w"]) >= 1e-9, F.array(whole(s["u"] / s["w"]), whole(s["v"] / s["w"]))))
+
+
 def overlay_frames(shots: DataFrame, cameras: DataFrame, balls: DataFrame, rims: DataFrame, keys: list[str], fps: float) -> DataFrame:
     """keys, frame_index and what is drawn in it, for each frame from a shot's first to a little past its end that has a camera.
 
@@ -94,13 +106,15 @@ def overlay_frames(shots: DataFrame, cameras: DataFrame, balls: DataFrame, rims:
     """
     t_end, t_seen = F.col("t_end"), F.col("t_seen")
     past = F.greatest(F.lit(int(PAST_S * fps)), F.rint((t_end - t_seen) * fps).cast("int") + 2)
-    rows = shots.withColumn("overlay_hi", F.col("hi") + past).withColumn("frame_index", F.explode(F.sequence(F.col("lo").cast("long"), F.col("overlay_hi").cast("long"))))
+    # The lists of a shot's sightings aren't drawn, so they aren't laid out over its frames.
+    rows = shots.drop("frames", "points").withColumn("overlay_hi", F.col("hi") + past).withColumn("frame_index", F.explode(F.sequence(F.col("lo").cast("long"), F.col("overlay_hi").cast("long"))))
     at = [*keys, "frame_index"]
     rim = rims.select(*at, F.col("rim_x").alias("__rx"), F.col("rim_y").alias("__ry"), F.col("rim_r").alias("__rr"))
     rows = rows.join(cameras.select(*at, "camera"), at).join(rim, at, "left").join(balls.select(*at, F.col("u").alias("__u"), F.col("v").alias("__v")), at, "left")
+    rows = spread(rows, *at)
     p = _upright(F.col("camera"), F.col("flipped"))
     n = F.greatest(F.lit(LEAST_PLACES), F.rint(t_end * fps * PLACES_A_FRAME).cast("int"))
-    line = F.transform(F.sequence(F.lit(0), n - 1), lambda k: _pixel(F.col("__p"), *place_at(t_end * k / (n - 1))))
+    line = _pixels(F.col("__p"), F.transform(F.sequence(F.lit(0), n - 1), lambda k: t_end * k / (n - 1)))
     rows = rows.withColumn("__p", p).withColumn("__line", F.filter(line, lambda q: q.isNotNull()))
     seen_rim = F.array(F.rint("__rx").cast("int"), F.rint("__ry").cast("int"))
     last = F.try_element_at("__line", F.lit(-1))

@@ -12,6 +12,7 @@ from hardwood.functions.geometry import distance
 from hardwood.operators.arcs import GRAVITY, LEAST_HEIGHT, LEAST_RELEASE, fit_arc
 from hardwood.operators.joins import first_by, nearest_in_time
 from hardwood.operators.sequences import quadratic_fit, with_runs
+from hardwood.shared import spread
 
 # Seconds on either side of the highest point, greatest error and least height of an arc in pixels.
 HALF_S, MOST_ERROR, LEAST_AMPLITUDE = 0.5, 22.0, 60.0
@@ -73,7 +74,7 @@ def extended_windows(samples: DataFrame, windows: DataFrame, keys: list[str], fp
         return table.select([*keys]).slice(0, 1).append_column("lo", pa.array([back], pa.int64())).append_column("hi", pa.array([hi], pa.int64()))
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "lo long, hi long"])
-    return rows.withColumns({"lo": F.col("lo").cast("long"), "hi": F.col("hi").cast("long")}).groupBy(*keys).applyInArrow(run, ddl)
+    return spread(rows.withColumns({"lo": F.col("lo").cast("long"), "hi": F.col("hi").cast("long")}), *keys).groupBy(*keys).applyInArrow(run, ddl)
 
 
 def earliest_release(windows: DataFrame, releases: DataFrame, keys: list[str], fps: float) -> DataFrame:

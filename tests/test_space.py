@@ -267,3 +267,22 @@ def test_shots_without_rims_or_sightings(spark):
     windows = S.shot_windows(none, ["clip"], 30)
     empty = S.reconstruct(none, windows, rims, cameras, ["clip"], 30)
     assert empty.count() == 0 and S.with_overlay(empty, cameras, balls, rims, ["clip"], 30).count() == 0
+
+
+def test_pixels_of_an_arc_are_those_place_by_place(spark):
+    """The drawn places equal those worked out one by one, and a shot's frames are dealt over tasks."""
+    keys = "id clip, 10 lo, 40 hi, 20D + id % 7 x0, 9D - id % 5 vx, 6D y0, 2D vy, 7D z0, 21D + id % 3 vz, 1.0D + id / 40 t_end, 1.0D t_seen, false flipped, 'rim' how, null rim_x, null rim_y, array(1) frames, array(1) points"
+    shots = spark.sql(f"select {keys} from range(24)")
+    still = [2000.0, 640.0, 0.0, 38400.0, 0.0, 360.0, -2000.0, 36600.0, 0.0, 1.0, 0.0, 60.0]
+    cameras = spark.range(24).select(F.col("id").alias("clip"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("frame_index"), F.array(*map(F.lit, still)).alias("camera"))
+    none = spark.sql("select 1L clip, 1 frame_index, 1D rim_x, 1D rim_y, 1D rim_r, 1D u, 1D v").limit(0)
+    rows = S.overlay_frames(shots, cameras, none, none, ["clip"], 30.0)
+    drawn = rows.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in drawn}) > 4
+    want = shots.withColumn("camera", F.array(*map(F.lit, still))).withColumn("n", F.greatest(F.lit(90), F.rint(F.col("t_end") * 60).cast("int")))
+    want = want.select("clip", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k", "_"), "n", *shots.columns[3:10], "camera")
+    want = want.select("clip", "k", S._pixel(F.col("camera"), *S.place_at(F.col("t_end") * F.col("k") / (F.col("n") - 1))).alias("p")).orderBy("clip", "k").collect()
+    by_clip = {}
+    for r in want:
+        by_clip.setdefault(r.clip, []).append(r.p)
+    assert all(r.entry.arc == by_clip[r.clip] for r in drawn) and len(drawn) == 24 * 40
