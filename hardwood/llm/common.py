@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ class Scratch:
     """Tables written for one computation; each can be deleted once what was made of it is written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.tables = spark, {}, {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_folder(self.spark, name)
@@ -58,9 +59,21 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def write_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """As ``write``, in buckets of ``key``, as many as the session shuffles into: joins by ``key`` leave its rows
+        where they are and shuffle the other side alone. The buckets' names are kept in the catalog until it is dropped."""
+        path, called = new_folder(self.spark, name), f"hardwood_{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(called)
+        out = self.spark.table(called)
+        self.paths[id(out)], self.tables[id(out)] = (path, out), called
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path, _ = self.paths.pop(id(t))
+            if id(t) in self.tables:
+                self.spark.sql(f"drop table if exists {self.tables.pop(id(t))}")
             delete_folder(self.spark, path)
 
 

@@ -728,7 +728,7 @@ def similar_sets(docs: DataFrame, found: DataFrame, width: int, percent: int) ->
     hubs = cells.groupBy(F.col("pivot").alias("set")).agg(F.collect_set("salt").alias("salts"))
     wanted = [close.select(F.col("a").alias("set")), close.select("b"), large.select("set"), large.select("p.set")]
     wanted = tmp.write(reduce(DataFrame.union, wanted).distinct().join(cells, "set", "left").join(hubs, "set", "left"), "wanted")
-    stored = tmp.write(_stored_sets(docs, wanted, width), "sets")
+    stored = tmp.write_by(_stored_sets(docs, wanted, width), "sets", "set")
     tmp.drop(first, cells, wanted)
     members = stored.where("pivot is not null")
     measured = tmp.write(_measure(members, stored.where("salts is not null").select(F.col("set").alias("pivot"), F.explode("salts").alias("salt"), "raw"), percent), "distances")
@@ -770,7 +770,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     rows. Equal shingles are told by 64-bit hashes.
 
     Texts stay where they are: shuffled are 2 bytes a shingle, 14 a shingle of a prefix, and the sets
-    of those that can link. Tasks get bitmaps of 16 MB at most. Keys with many rows are dealt out.
+    of those that can link: once into buckets, then only those of a comparison to their pivot. Tasks get bitmaps of 16 MB at most. Keys with many rows are dealt out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("row"))
     found = written(_found(rows, width, percent), "found")
