@@ -21,8 +21,10 @@ CLASSES, STATES = 4096, 6
 COMMON_WORDS, COMMON_BYTES = 250_000, 64
 #: Documents are trained on in pieces of this many tokens, and scored by products over such pieces.
 PIECE = 128
-#: Sequences of up to this many tokens are scored side by side, longer ones in pieces.
-LONG = 512
+#: Sequences of up to this many tokens are scored side by side, longer ones in pieces, which takes STATES times the work.
+LONG = 2048
+#: Pieces, or sequences, that are worked on side by side (a step of so many stays in a cache), and tokens of such sequences.
+ABREAST, ABREAST_TOKENS = 1000, 1 << 19
 #: Baum-Welch rounds, each over all training documents.
 ROUNDS = 14
 FLUSH = 400_000
@@ -112,16 +114,19 @@ class Steps:
         self.classes[self.at[nth] + np.repeat(np.arange(self.n), size)] = np.concatenate([seqs[i] for i in self.order])
 
     def emissions(self, model: Model) -> np.ndarray:
-        return np.stack([e.take(self.classes) for e in model.emit])
+        out = np.empty((STATES, len(self.classes)))
+        for e, to in zip(model.emit, out, strict=True):
+            e.take(self.classes, out=to, mode="clip")
+        return out
 
 
 def expected_counts(model: Model, pieces: list[np.ndarray], firsts: np.ndarray):
     """One Baum-Welch pass over some pieces: counts of starts, moves and emissions by scaled forward and backward recursions."""
     steps = Steps(pieces)
-    firsts, at = firsts[steps.order], steps.at
+    firsts, at = firsts[steps.order], steps.at.tolist()
     emit = steps.emissions(model)
     begin = np.where(firsts, model.start[:, None], model.between[:, None])
-    alpha, beta, scale = np.empty_like(emit), np.empty_like(emit), np.empty(emit.shape[1])
+    alpha, scale = np.empty_like(emit), np.empty(emit.shape[1])
     onward = np.ascontiguousarray(model.move.T)
     before = begin
     for x, y in zip(at, at[1:], strict=False):
@@ -130,22 +135,22 @@ def expected_counts(model: Model, pieces: list[np.ndarray], firsts: np.ndarray):
         a.sum(0, out=scale[x:y])
         before = np.divide(a, scale[x:y], out=alpha[:, x:y])
     emit /= scale
-    # Past its end a sequence's beta is 1.
+    # Past its end a sequence's beta is 1. Alphas times betas take the place of alphas that are no longer needed.
     move, after = np.zeros((STATES, STATES)), np.ones((STATES, steps.n))
     for t in range(len(at) - 2, -1, -1):
         x, y = at[t], at[t + 1]
-        beta[:, x:y] = after[:, : y - x]
-        weighted = emit[:, x:y] * after[:, : y - x]
+        alpha[:, x:y] *= after[:, : y - x]
+        weighted = emit[:, x:y]
+        weighted *= after[:, : y - x]
         before = begin if t == 0 else alpha[:, at[t - 1] : at[t - 1] + y - x]
         move += before @ weighted.T
         after[:, : y - x] = model.move @ weighted
     first = begin * after
-    gamma = alpha * beta
-    counts = np.stack([np.bincount(steps.classes, g, CLASSES + 1) for g in gamma])
+    counts = np.stack([np.bincount(steps.classes, gamma, CLASSES + 1) for gamma in alpha])
     return first[:, firsts].sum(1), first[:, ~firsts].sum(1), model.move * move, counts, float(np.log(scale).sum())
 
 
-def batched_counts(model: Model, rows: Iterator[np.ndarray], size: int = 3000):
+def batched_counts(model: Model, rows: Iterator[np.ndarray], size: int = ABREAST):
     """Sums of ``expected_counts`` over documents, some pieces at a time."""
     total, pieces, firsts = [np.zeros(STATES), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1)), 0.0], [], []
 
@@ -166,14 +171,18 @@ def batched_counts(model: Model, rows: Iterator[np.ndarray], size: int = 3000):
     return total
 
 
-def log_likelihoods(model: Model, docs: list[np.ndarray], size: int = 3000) -> np.ndarray:
+def log_likelihoods(model: Model, docs: list[np.ndarray], size: int = ABREAST) -> np.ndarray:
     """Natural-log likelihood of each whole sequence of classes: the scaled forward recursion, run over
     the sequences side by side. Those above LONG are run in pieces from every state at once, whose
     matrices then multiply in order."""
     out = np.zeros(len(docs))
-    for find, some in ((_short_likelihoods, [i for i, d in enumerate(docs) if len(d) <= LONG]), (_long_likelihoods, [i for i, d in enumerate(docs) if len(d) > LONG])):
-        for at in range(0, len(some), size):
-            out[some[at : at + size]] = find(model, [docs[i] for i in some[at : at + size]])
+    order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
+    for find, some in ((_short_likelihoods, [i for i in order if len(docs[i]) <= LONG]), (_long_likelihoods, [i for i in order if len(docs[i]) > LONG])):
+        while some:
+            # The longest is the last, so so many of its length are within the bound.
+            n = max(1, min(size, ABREAST_TOKENS // len(docs[some[-1]])))
+            some, part = some[:-n], some[-n:]
+            out[part] = find(model, [docs[i] for i in part])
     return out
 
 
@@ -181,11 +190,12 @@ def _short_likelihoods(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     steps = Steps(docs)
     emit, logs = steps.emissions(model), np.zeros(steps.n)
     state, onward = np.repeat(model.start[:, None], steps.n, 1), np.ascontiguousarray(model.move.T)
-    for x, y in zip(steps.at, steps.at[1:], strict=False):
+    at = steps.at.tolist()
+    for x, y in zip(at, at[1:], strict=False):
         a = onward @ state[:, : y - x]
         a *= emit[:, x:y]
         s = a.sum(0)
-        state = a / s
+        state = np.divide(a, s, out=a)
         logs[: y - x] += np.log(s)
     out = np.empty(steps.n)
     out[steps.order] = logs

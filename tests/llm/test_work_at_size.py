@@ -1,10 +1,12 @@
 """What operators do once tables are too large to broadcast, at a size that shows it."""
 
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from hardwood.llm import jaccard
+from hardwood.llm import hmm, jaccard
 
 
 @pytest.fixture
@@ -56,3 +58,30 @@ def test_sets_stay_where_they_are_when_pairs_are_measured(spark, no_broadcast, m
                 if 100 * len(x & y) >= 75 * len(x | y):
                     label[a] = label[b] = min(label[a], label[b])
     assert got == dict(enumerate(label)) and len(set(label)) == 4
+
+
+def test_baum_welch_holds_few_pieces_at_once():
+    """However many pieces there are, the arrays of a pass are those of a few; the counts are the same in any batches."""
+    r = np.random.default_rng(2)
+    model = hmm.Model.seeded(r.dirichlet(np.ones(hmm.CLASSES + 1)))
+    docs = [r.integers(0, hmm.CLASSES, n) for n in (128, 900, 1)] * 400
+    tracemalloc.start()
+    got = hmm.batched_counts(model, iter(docs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    for a, b in zip(got, hmm.batched_counts(model, iter(docs), 77), strict=True):
+        assert np.allclose(a, b, rtol=1e-9)
+
+
+def test_scores_of_sequences_longer_than_go_side_by_side():
+    r = np.random.default_rng(4)
+    model = hmm.Model.seeded(r.dirichlet(np.ones(hmm.CLASSES + 1)))
+    seqs = [r.integers(0, hmm.CLASSES, n) for n in (hmm.LONG + 1, 1, hmm.LONG, 3 * hmm.LONG, 600)]
+    for s, got in zip(seqs, hmm.log_likelihoods(model, seqs, 2), strict=True):
+        state, total = model.start, 0.0
+        for x in s:
+            state = (state @ model.move) * model.emit[:, x]
+            total += np.log(state.sum())
+            state = state / state.sum()
+        assert abs(total - got) < 1e-9 * abs(total)
