@@ -18,10 +18,12 @@ from hardwood.operators.ranges import numbered
 BUCKETS, PERCENT, FEWEST_WORDS, SEED = 10_000, 25, 20, 7
 #: Texts are cut into words in slices of about so many bytes.
 SLICE = 1 << 20
+#: A block is full with so many stored counts and documents; blocks that a task holds at once as it writes or reads them.
+BLOCK, HELD_BLOCKS = 1 << 16, 16
 # Bytes that are no word's are spaces, A-Z are lower-cased: words are runs of 0-9, letters and bytes beyond ASCII.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
-BLOCKS = "doc_ids array<bigint>, n_words binary, indptr binary, indices binary, counts binary, wide boolean"
+BLOCKS = "doc_ids array<bigint>, n_words binary, indptr binary, indices binary, counts binary, width int"
 
 
 def word_slices(text: bytes) -> Iterator[list[bytes]]:
@@ -52,24 +54,35 @@ def feature_counts(text: bytes | None, buckets: int = BUCKETS) -> tuple[np.ndarr
     return at, counts[at], n
 
 
+def _block(rows: list[tuple], kind: type) -> pa.RecordBatch:
+    """One row of BLOCKS of documents (doc_id, buckets, counts, words)."""
+    indptr = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
+    indices, counts = np.concatenate([r[1] for r in rows]).astype(kind), np.concatenate([r[2] for r in rows])
+    counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+    block = [[r[0] for r in rows], np.array([r[3] for r in rows]).tobytes(), indptr.tobytes(), indices.tobytes(), counts.tobytes(), counts.itemsize]
+    types = [pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block, types, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
+
+
 def count_blocks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The sparse matrix of documents (doc_id, text) by buckets, one CSR block a row: indptr (int64), indices (uint16, or
-    uint32 beyond 65,536 buckets), counts (uint8, or int64 where ``wide``), and the words of each document."""
+    uint32 beyond 65,536 buckets), counts (unsigned, of ``width`` bytes, as few as hold the block's largest), and the words
+    of each document. A block ends with the document that brings it to BLOCK, a stored count and a document counting one each."""
     kind = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text")
             raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
-            rows = [feature_counts(t.as_py(), buckets) for t in raw]
-            if not rows:
-                continue
-            indptr = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
-            indices, counts = np.concatenate([r[0] for r in rows]).astype(kind), np.concatenate([r[1] for r in rows])
-            wide = bool(counts.max(initial=0) > 255)
-            block = [b.column("doc_id").to_pylist(), np.array([r[2] for r in rows]).tobytes(), indptr.tobytes(), indices.tobytes(), counts.astype(np.int64 if wide else np.uint8).tobytes(), wide]
-            types = [pa.list_(pa.int64()), *[pa.binary()] * 4, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block, types, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
+            rows, held = [], 0
+            for i, t in zip(b.column("doc_id").to_pylist(), raw, strict=True):
+                rows.append((i, *feature_counts(t.as_py(), buckets)))
+                held += len(rows[-1][1]) + 1
+                if held >= BLOCK:
+                    yield _block(rows, kind)
+                    rows, held = [], 0
+            if rows:
+                yield _block(rows, kind)
 
     return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, BLOCKS)
 
@@ -78,7 +91,7 @@ def _blocks(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[list, np.ndar
     """doc_ids, words, indptr, indices and counts of the blocks of a batch."""
     kind = np.uint16 if buckets <= 1 << 16 else np.uint32
     for r in batch.to_pylist():
-        counts = np.frombuffer(r["counts"], np.int64 if r["wide"] else np.uint8).astype(np.int64)
+        counts = np.frombuffer(r["counts"], f"u{r['width']}").astype(np.int64)
         yield r["doc_ids"], np.frombuffer(r["n_words"], np.int64), np.frombuffer(r["indptr"], np.int64), np.frombuffer(r["indices"], kind), counts
 
 
@@ -93,7 +106,7 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    rows = blocks.select("doc_ids", "n_words", "indptr", "indices", "counts", "wide").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("doc_ids", "n_words", "indptr", "indices", "counts", "width").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -136,8 +149,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, fewest_
     Texts are read once into CSR blocks in the shared folder; the column sums, ``buckets`` numbers, are all that passes
     through the driver. Ranks come from ranges, so no task sorts all documents.
     """
-    blocks = written(count_blocks(docs, buckets), "csr")
-    aimed = written(count_blocks(target.select(F.lit(0).alias("doc_id"), "text"), buckets), "csr-target")
+    blocks = written(count_blocks(docs, buckets), "csr", HELD_BLOCKS)
+    aimed = written(count_blocks(target.select(F.lit(0).alias("doc_id"), "text"), buckets), "csr-target", HELD_BLOCKS)
     rows = weigh(blocks, bucket_gains(column_sums(blocks, buckets), column_sums(aimed, buckets)))
     noise = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(noise, 1, 8), 16, 10).cast("long")

@@ -34,12 +34,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/hardwood/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: computed once, and
-    nothing of it is lost with an executor."""
+    nothing of it is lost with an executor.
+
+    ``group_rows``, for rows of many KB: so many rows at most are a row group. A task holds one while it writes or reads,
+    and Parquet's own bound, 128 MB, is of compressed bytes, which it looks at every 100 rows or less often.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    groups = {"parquet.block.row.count.limit": group_rows} if group_rows else {}
+    df.write.options(compression="zstd", **groups).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -209,6 +209,18 @@ def test_resampling_of_odd_rows(spark):
     assert resample_rows(spark, docs, []) == resampled(docs, [])
 
 
+def test_resampling_in_many_blocks(spark, monkeypatch):
+    """Blocks end anywhere, and counts take one, two or four bytes of theirs."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, R.choice([None, "", " ".join(R.choice(words) for _ in range(R.randrange(80))), "one two " * 300])) for i in range(150)]
+    docs.insert(70, (150, "a " * 70_000))
+    monkeypatch.setattr(importance, "BLOCK", 150)
+    assert resample_rows(spark, docs, [" ".join(words[:30])]) == resampled(docs, [" ".join(words[:30])])
+    blocks = importance.count_blocks(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert len(blocks) > 10 and {b.width for b in blocks} == {1, 2, 4}
+    assert [i for b in blocks for i in b.doc_ids] == [i for i, _ in docs]
+
+
 @pytest.mark.parametrize("buckets", [10, 100_000])
 def test_blocks_keep_counts(spark, buckets):
     docs = [(i, "x y z " * i) for i in range(300)]

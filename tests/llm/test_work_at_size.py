@@ -2,11 +2,13 @@
 
 import re
 import tracemalloc
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from hardwood.llm import hmm, jaccard
+from hardwood.llm import hmm, importance, jaccard
 
 
 @pytest.fixture
@@ -85,3 +87,19 @@ def test_scores_of_sequences_longer_than_go_side_by_side():
             total += np.log(state.sum())
             state = state / state.sum()
         assert abs(total - got) < 1e-9 * abs(total)
+
+
+def test_resampling_holds_few_blocks_at_once(spark, monkeypatch):
+    """However much a task reads, a row group, which it holds as a whole, is a few MB of blocks, and all rows are there."""
+    r = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{x}" for x in r.integers(0, 50_000, 4000)) + " the" * 300) for i in range(400)]
+    tables, write = {}, importance.written
+    monkeypatch.setattr(importance, "written", lambda df, name, *rest: tables.setdefault(name, write(df, name, *rest)))
+    out = importance.resample(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([("w1 the",)], "text string"))
+    got = sorted(out.collect())
+    assert [(x.doc_id, x.n_features) for x in got] == [(i, 2 * 4300 - 1) for i in range(400)]
+    assert sorted(x.rank for x in got if x.rank) == list(range(1, 101))
+    (file,) = tables["csr"].inputFiles()
+    meta = pq.ParquetFile(urlparse(file).path).metadata
+    sizes = [meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 6 << 20
